@@ -1,0 +1,11 @@
+"""Every query of the core, with its SQL equivalent."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
