@@ -7,9 +7,35 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.encode import encode_texts
 from paperloom.llm.packing import pack_documents
+from paperloom.llm.shared_spans import shared_spans
+from paperloom.llm.splitting import split_texts
 from paperloom.session import table
 
 
+CHUNK_KEY = "concat(paper_id, '_', chunk_id)"
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = split_texts(table(spark, sf_dir, "chunks_sample"), "chunk", CHUNK_KEY, "chunk_text")
+    return chunks.unionByName(split_texts(table(spark, sf_dir, "arxiv_silver_plus"), "introduction", "paper_id", "introduction"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that came out in more than one piece."""
+    whole = p1_pieces(spark, sf_dir).groupBy("src", "item_key", "cut").agg(F.max("piece_no").alias("last"))
+    return whole.filter("last > 0").select("src", "item_key", "cut")
+
+
+def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = table(spark, sf_dir, "arxiv_silver_plus").select(F.lit("body").alias("src"), F.col("paper_id").alias("item_key"), F.col("body").alias("text"))
+    chunks = table(spark, sf_dir, "chunks_sample").select(F.lit("chunk").alias("src"), F.expr(CHUNK_KEY).alias("item_key"), F.col("chunk_text").alias("text"))
+    return shared_spans(bodies.unionByName(chunks))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_spans(spark, sf_dir).filter("n_spans > 0").select("src", "item_key")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -25,7 +51,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p8_containers, p8_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p7_ids, p8_containers, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
