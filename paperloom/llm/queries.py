@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.encode import encode_texts
 from paperloom.llm.packing import pack_documents
+from paperloom.llm.quality import quality_findings, text_statistics
 from paperloom.llm.shared_spans import shared_spans
 from paperloom.llm.splitting import split_texts
 from paperloom.session import table
@@ -36,6 +37,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_spans(spark, sf_dir).filter("n_spans > 0").select("src", "item_key")
 
 
+def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = [r[0] for r in table(spark, sf_dir, "common_words").select("word").collect()]  # a fixed list of 245
+    return text_statistics(table(spark, sf_dir, "arxiv_silver_plus"), "paper_id", "clean_text", words, ["word_count_clean", "quality_flag"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_findings(table(spark, sf_dir, "arxiv_silver_plus"), table(spark, sf_dir, "common_words"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -51,7 +61,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p7_ids, p8_containers, p8_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p4_statistics, p4_found, p7_ids, p8_containers, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
