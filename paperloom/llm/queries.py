@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.encode import encode_texts
+from paperloom.llm.markup import strip_markup
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.quality import quality_findings, text_statistics
 from paperloom.llm.shared_spans import shared_spans
@@ -37,15 +38,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_spans(spark, sf_dir).filter("n_spans > 0").select("src", "item_key")
 
 
+def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    """A fixed reference list of 245 words."""
+    return [r[0] for r in table(spark, sf_dir, "common_words").select("word").filter("word is not null").collect()]
+
+
 def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = [r[0] for r in table(spark, sf_dir, "common_words").select("word").collect()]  # a fixed list of 245
-    return text_statistics(table(spark, sf_dir, "arxiv_silver_plus"), "paper_id", "clean_text", words, ["word_count_clean", "quality_flag"])
+    return text_statistics(table(spark, sf_dir, "arxiv_silver_plus"), "paper_id", "clean_text", _common_words(spark, sf_dir), ["word_count_clean", "quality_flag"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_findings(table(spark, sf_dir, "arxiv_silver_plus"), table(spark, sf_dir, "common_words"))
 
 
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _common_words(spark, sf_dir)
+    papers = strip_markup(table(spark, sf_dir, "arxiv_silver_plus"), "clean_text", "paper_id", "clean_text", words)
+    return papers.unionByName(strip_markup(table(spark, sf_dir, "arxiv_metadata_sample"), "abstract", "doc_id", "abstract", words))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_clean(spark, sf_dir).select("src", "item_key", F.explode("markup").alias("markup")).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -61,7 +76,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p4_statistics, p4_found, p7_ids, p8_containers, p8_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p7_ids, p8_containers, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
