@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.encode import encode_texts
 from paperloom.llm.markup import strip_markup
+from paperloom.llm.near_copies import copy_groups, near_copies, similar_pairs
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.quality import quality_findings, text_statistics
 from paperloom.llm.shared_spans import shared_spans
@@ -61,6 +62,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_clean(spark, sf_dir).select("src", "item_key", F.explode("markup").alias("markup")).distinct()
 
 
+#: TESTDATA.md sets the similarity of problem 6.
+P6_SIMILARITY = 0.5
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = near_copies(table(spark, sf_dir, "arxiv_silver_plus"), "paper_id", "clean_text", P6_SIMILARITY)
+    return copy_groups(members, links).withColumnRenamed("key", "paper_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = near_copies(table(spark, sf_dir, "arxiv_silver_plus"), "paper_id", "clean_text", P6_SIMILARITY)
+    return similar_pairs(members, links).withColumnsRenamed({"key_a": "paper_a", "key_b": "paper_b"})
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -76,7 +91,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p7_ids, p8_containers, p8_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_found, p7_ids, p8_containers, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
