@@ -10,6 +10,7 @@ from paperloom.llm.markup import strip_markup
 from paperloom.llm.near_copies import copy_groups, near_copies, similar_pairs
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.quality import quality_findings, text_statistics
+from paperloom.llm.repetition import repetition
 from paperloom.llm.shared_spans import shared_spans
 from paperloom.llm.splitting import split_texts
 from paperloom.session import table
@@ -90,8 +91,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.agg(F.min("container_id").alias("low"), F.max("container_id").alias("high")).filter("low < high").select("doc_id")
 
 
+def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition(table(spark, sf_dir, "documents")).filter("repeated").select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_found, p7_ids, p8_containers, p8_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_found, p7_ids, p8_containers, p8_found, p9_repetition, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
