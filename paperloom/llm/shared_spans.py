@@ -28,7 +28,7 @@ LENGTH = 300
 #: Code points of the short windows, and how many of them give one minimum.
 GRAM, WINNOW = 64, 64
 #: Code points of all records of a run, about; and of one step in a task.
-RUN_CHARS, STEP_CHARS = 6_000_000, 1_000_000
+RUN_CHARS, STEP_CHARS = 2_000_000, 1_000_000
 SEVERAL = 0
 
 #: Odd multipliers of the two rolling hashes.
