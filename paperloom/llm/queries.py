@@ -11,6 +11,7 @@ from paperloom.llm.near_copies import copy_groups, near_copies, similar_pairs
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.quality import quality_findings, text_statistics
 from paperloom.llm.repetition import repetition
+from paperloom.llm.scan_repair import page_texts, repair_pages
 from paperloom.llm.shared_spans import shared_spans
 from paperloom.llm.splitting import split_texts
 from paperloom.session import table
@@ -30,6 +31,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.filter("last > 0").select("src", "item_key", "cut")
 
 
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_texts(table(spark, sf_dir, "arxiv_text_parquet"), table(spark, sf_dir, "arxiv_silver_plus"))
+    return repair_pages(pages, "file_path", "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_repaired(spark, sf_dir).select("file_path", F.explode("damage").alias("damage")).distinct()
+
+
 def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = table(spark, sf_dir, "arxiv_silver_plus").select(F.lit("body").alias("src"), F.col("paper_id").alias("item_key"), F.col("body").alias("text"))
     chunks = table(spark, sf_dir, "chunks_sample").select(F.lit("chunk").alias("src"), F.expr(CHUNK_KEY).alias("item_key"), F.col("chunk_text").alias("text"))
@@ -100,7 +110,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p3_spans, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_found, p7_ids, p8_containers, p8_found, p9_repetition, p9_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_repaired, p2_found, p3_spans, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_found, p7_ids, p8_containers, p8_found, p9_repetition, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
