@@ -65,5 +65,5 @@ EXCLUSION_REASONS = ["small_match", "reference_section", "reference_like_text",
 
 # --- concept layer
 CUES = ["we propose", "we present", "we introduce", "novel", "our method", "our approach"]
-KEYWORD = r"\b[a-z]{4,}\b"
+KEYWORD_WHOLE = r"\A[a-z]{4,}\z"
 PERCENT = r"(\d+\.?\d*)\s*%"

@@ -5,11 +5,10 @@ from __future__ import annotations
 import difflib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from paperloom import constants as K
 from paperloom.functions import patterns as P
@@ -51,29 +50,32 @@ def shingle_hashes(t: Column) -> Column:
 
 
 def signatures(df: DataFrame, hashes: str, out: str = "signature") -> DataFrame:
-    """df with the 128 minima of (a * h + b) mod p over the array column hashes; null where it is empty.
+    """df with the 128 minima of (a * h + b) mod p in place of the array column hashes; null where that is empty.
 
     The minima are matrix operations on whole arrays; as lambdas inside Spark
     each would be interpreted for every permutation and every shingle.
     """
     a, b = (np.array(x, dtype=np.uint64)[:, None] for x in K.permutation_parameters())
     prime = np.uint64(K.PRIME)
+    others = [f for f in df.schema.fields if f.name != hashes]
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def minima(sets: pd.Series) -> pd.Series:
-        def one(h):
-            if h is None or not len(h):
-                return None
-            h = np.asarray(h, dtype=np.uint64)
-            low = None
-            for i in range(0, len(h), 4096):
-                part = ((a * h[None, i : i + 4096] + b) % prime).min(axis=1)
-                low = part if low is None else np.minimum(low, part)
-            return low.astype(np.int32)
+    def minima(h: np.ndarray) -> np.ndarray:
+        low = None
+        for i in range(0, len(h), 4096):
+            part = ((a * h[None, i : i + 4096] + b) % prime).min(axis=1)
+            low = part if low is None else np.minimum(low, part)
+        return low.astype(np.int32)
 
-        return sets.map(one)
+    def run(batches):
+        for batch in batches:
+            sets = batch.column(batch.num_columns - 1)
+            flat, edge = sets.values.to_numpy(zero_copy_only=False).astype(np.uint64), sets.offsets.to_numpy()
+            valid = sets.is_valid().to_numpy(zero_copy_only=False)
+            made = [minima(flat[i:j]) if ok and j > i else None for i, j, ok in zip(edge, edge[1:], valid)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*(f.name for f in others), out])
 
-    return df.withColumn(out, minima(hashes))
+    schema = StructType([*others, StructField(out, ArrayType(IntegerType()))])
+    return df.select(*(f.name for f in others), F.col(hashes).cast("array<bigint>")).mapInArrow(run, schema)
 
 
 def band_keys(signature: Column) -> Column:
@@ -146,7 +148,9 @@ def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def keywords(t: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(f"({P.KEYWORD})")))
+    """Words of four or more letters a to z that no other word character touches."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(f"([{WORD}]+)"))
+    return F.array_distinct(F.filter(words, lambda w: w.rlike(P.KEYWORD_WHOLE)))
 
 
 def cue_phrases(t: Column) -> Column:
