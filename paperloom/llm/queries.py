@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.rx import SPACE, WORD
 from paperloom.llm.encode import encode_texts
 from paperloom.llm.markup import strip_markup
 from paperloom.llm.near_copies import copy_groups, near_copies, similar_pairs
@@ -113,5 +114,33 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_pieces, p1_found, p2_repaired, p2_found, p3_spans, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_found, p7_ids, p8_containers, p8_found, p9_repetition, p9_found)}
 
 
+_WHITE = SPACE
+
+
+def _texts_sql(other: str) -> str:
+    """Texts of a column of the papers and of the chunks, each once, without white space at both ends."""
+    return f"""
+      SELECT DISTINCT src, item_key, regexp_replace(t, '^[{_WHITE}]+|[{_WHITE}]+\\z', '', 'g') AS t FROM (
+        SELECT '{other}' AS src, paper_id AS item_key, {other} AS t FROM arxiv_silver_plus
+        UNION ALL SELECT 'chunk', paper_id || '_' || chunk_id, chunk_text FROM chunks_sample) WHERE t IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can say; the other operators are tested by brute force, exact round trips or held-out accuracy."""
+    return {
+        "p1_found": f"""WITH x AS ({_texts_sql('introduction')})
+          SELECT DISTINCT src, item_key, CASE WHEN list_max(list_transform(regexp_split_to_array(t, '[{_WHITE}]+'), lambda w: length(w))) > 1200 THEN 'forced' ELSE 'boundary' END AS cut FROM x WHERE length(t) > 1200""",
+        "p3_found": f"""WITH x AS ({_texts_sql('body')}),
+          w AS (SELECT DISTINCT src, item_key, md5(substr(t, i, 300)) AS h FROM (SELECT src, item_key, t, unnest(range(1, length(t) - 298)) AS i FROM x WHERE length(t) >= 300)),
+          s AS (SELECT src, h FROM w GROUP BY src, h HAVING count(*) > 1)
+          SELECT DISTINCT w.src, item_key FROM w JOIN s ON w.src = s.src AND w.h = s.h""",
+        "p6_found": f"""WITH t AS (SELECT DISTINCT paper_id, regexp_extract_all(lower(clean_text), '[{WORD}]{{2,}}') AS w FROM arxiv_silver_plus WHERE clean_text IS NOT NULL),
+          s AS (SELECT DISTINCT paper_id, md5(array_to_string(w[i:i+4], ' ')) AS h FROM (SELECT paper_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)),
+          n AS (SELECT paper_id, count(*) AS n FROM s GROUP BY paper_id),
+          p AS (SELECT a.paper_id AS paper_a, b.paper_id AS paper_b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.paper_id < b.paper_id GROUP BY ALL)
+          SELECT paper_a, paper_b FROM p JOIN n x ON x.paper_id = paper_a JOIN n y ON y.paper_id = paper_b WHERE c / (x.n + y.n - c) >= 0.5""",
+        "p9_found": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[^{_WHITE}]+') AS w FROM documents WHERE text IS NOT NULL),
+          g AS (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM (SELECT doc_id, len(w) AS n, i, md5(array_to_string(w[i:i+7], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8))),
+          m AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + 8)) AS at FROM g WHERE c > 1)
+          SELECT doc_id FROM m GROUP BY doc_id, n HAVING count(*) / n >= 0.3::DOUBLE""",
+    }
