@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -49,35 +51,69 @@ def shingle_hashes(t: Column) -> Column:
     return F.array_distinct(F.transform(shingles(t), shingle_hash))
 
 
+_A, _B = (np.array(x, dtype=np.uint64)[:, None] for x in K.permutation_parameters())
+
+
+def _minima(h: np.ndarray) -> np.ndarray:
+    low = None
+    for i in range(0, len(h), 4096):
+        part = ((_A * h[None, i : i + 4096] + _B) % np.uint64(K.PRIME)).min(axis=1)
+        low = part if low is None else np.minimum(low, part)
+    return low.astype(np.int32)
+
+
 def signatures(df: DataFrame, hashes: str, out: str = "signature") -> DataFrame:
     """df with the 128 minima of (a * h + b) mod p in place of the array column hashes; null where that is empty.
 
     The minima are matrix operations on whole arrays; as lambdas inside Spark
     each would be interpreted for every permutation and every shingle.
     """
-    a, b = (np.array(x, dtype=np.uint64)[:, None] for x in K.permutation_parameters())
-    prime = np.uint64(K.PRIME)
     others = [f for f in df.schema.fields if f.name != hashes]
 
-    def minima(h: np.ndarray) -> np.ndarray:
-        low = None
-        for i in range(0, len(h), 4096):
-            part = ((a * h[None, i : i + 4096] + b) % prime).min(axis=1)
-            low = part if low is None else np.minimum(low, part)
-        return low.astype(np.int32)
-
     def run(batches):
         for batch in batches:
             sets = batch.column(batch.num_columns - 1)
             flat, edge = sets.values.to_numpy(zero_copy_only=False).astype(np.uint64), sets.offsets.to_numpy()
             valid = sets.is_valid().to_numpy(zero_copy_only=False)
-            made = [minima(flat[i:j]) if ok and j > i else None for i, j, ok in zip(edge, edge[1:], valid)]
+            made = [_minima(flat[i:j]) if ok and j > i else None for i, j, ok in zip(edge, edge[1:], valid)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*(f.name for f in others), out])
 
     schema = StructType([*others, StructField(out, ArrayType(IntegerType()))])
     return df.select(*(f.name for f in others), F.col(hashes).cast("array<bigint>")).mapInArrow(run, schema)
 
 
+_WORDS = re.compile(r"\w{2,}").findall
+
+
+def hash_set(text: str, k: int = K.SHINGLE_WORDS) -> np.ndarray:
+    """The distinct shingle hashes of a text; none for fewer than k words."""
+    words = _WORDS(text.lower())
+    made = {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    parts = np.frombuffer(b"".join(hashlib.md5(s.encode("utf-8", "surrogatepass")).digest() for s in made), dtype=">u4").reshape(-1, 4).astype(np.uint64)
+    return np.unique((parts @ np.array([8, 4, 2, 1], dtype=np.uint64)) % np.uint64(K.PRIME))
+
+
+def text_signatures(df: DataFrame, text: str, out: str = "signature") -> DataFrame:
+    """df with the signature of the column text in its place; null for null texts and those of fewer than five words.
+
+    The same values as signatures() of shingle_hashes(). One Python step does
+    the whole: cutting and hashing shingles by Spark's array lambdas, which
+    are interpreted, took several times as long.
+    """
+    others = [f for f in df.schema.fields if f.name != text]
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for t in batch.column(batch.num_columns - 1).to_pylist():
+                h = hash_set(t) if t else ()
+                made.append(_minima(h) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*(f.name for f in others), out])
+
+    schema = StructType([*others, StructField(out, ArrayType(IntegerType()))])
+    return df.select(*(f.name for f in others), text).mapInArrow(run, schema)
+
+
 def band_keys(signature: Column) -> Column:
     """One struct(band, key) for each band of the signature."""
     return F.transform(F.sequence(F.lit(0), F.lit(K.BANDS - 1)), lambda b: F.struct(b.alias("band"), F.slice(signature, b * K.BAND_ROWS + 1, K.BAND_ROWS).alias("key")))

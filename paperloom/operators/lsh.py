@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from paperloom import constants as K
 from paperloom.functions import similarity as S
 from paperloom.operators.metadata import base_id
+from paperloom.session import spread
 
 
 def sign(df: DataFrame, key: str, text: str, least_chars: int = 200) -> DataFrame:
     """(key, signature) of every text of over least_chars characters with five tokens; others and nulls give no row."""
-    rows = df.filter(F.col(text).isNotNull() & (F.length(text) > least_chars)).select(key, S.shingle_hashes(F.col(text)).alias("hashes"))
-    return S.signatures(rows.filter(F.size("hashes") > 0), "hashes").select(key, "signature")
+    rows = spread(df.filter(F.col(text).isNotNull() & (F.length(text) > least_chars)).select(key, F.col(text).alias("_text")))
+    return S.text_signatures(rows, "_text").filter("signature is not null")
 
 
 def whole(signatures: DataFrame) -> DataFrame:

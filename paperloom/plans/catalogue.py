@@ -18,7 +18,7 @@ from paperloom.operators import layers as L
 from paperloom.operators import lsh, metadata, ml_lsh, scoring, vectors
 from paperloom.operators.matching import any_like, containment_join, make_segments
 from paperloom.plans import pipeline
-from paperloom.session import table
+from paperloom.session import spread, table
 from paperloom.sources import readers, writers
 from paperloom.streaming import ingest
 
@@ -69,7 +69,7 @@ def status_tally(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "arxiv_text_parquet").select("file_path", "text")
+    return spread(table(spark, d, "arxiv_text_parquet").select("file_path", "text"))
 
 
 def offline_front_matter(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def online_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_offline(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.clean_texts(table(spark, d, "arxiv_text_parquet"))
+    return ingest.clean_texts(spread(table(spark, d, "arxiv_text_parquet")))
 
 
 def clean_online(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def clean_online(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _papers(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "arxiv_silver_plus").select("paper_id", *columns)
+    return spread(table(spark, d, "arxiv_silver_plus").select("paper_id", *columns))
 
 
 def sections_offline(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +191,7 @@ def equal_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_overlap(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"))
     return containment_join(documents.filter(_is_query("doc_id")), documents, "doc_id", "text")
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions import similarity as S
 from paperloom.functions import text as X
 from paperloom.operators import layers as L
 from paperloom.operators.exclusion import apply_exclusion
@@ -55,7 +54,7 @@ def check(queries: DataFrame, signatures: DataFrame, lookup: DataFrame, citation
     """
     texts = cut_lineage(prepare_queries(queries))
     words = texts.withColumn("_q", X.query_text(F.col("clean_text"), F.col("introduction"), F.col("body")))
-    own = S.signatures(words.select(F.col("query_id").alias("paper_id"), S.shingle_hashes(F.col("_q")).alias("h")).filter(F.size("h") > 0), "h").select("paper_id", "signature")
+    own = sign(words.select(F.col("query_id").alias("paper_id"), "_q"), "paper_id", "_q", least_chars=0)
     candidates = cut_lineage(probe(own, signatures, "paper_id"))
     found = lookup.join(candidates.select(F.col("candidate").alias("paper_id")).distinct(), "paper_id", "left_semi").dropDuplicates(["paper_id"])
     body = F.when(X.strip(F.coalesce("body", F.lit(""))) == "", F.col("clean_text")).otherwise(F.col("body"))
@@ -72,7 +71,7 @@ def verdict(queries: DataFrame, signatures: DataFrame, papers: DataFrame, neighb
 
     neighbours(query_id, pid, cosine) are the nearest chunks' papers.
     """
-    own = S.signatures(queries.select(F.col("query_id").alias("paper_id"), S.shingle_hashes(F.col("clean_text")).alias("h")).filter(F.size("h") > 0), "h").select("paper_id", "signature")
+    own = sign(queries.select(F.col("query_id").alias("paper_id"), "clean_text"), "paper_id", "clean_text", least_chars=0)
     l1 = cut_lineage(L.layer1(probe(own, signatures, "paper_id")))
     l3 = cut_lineage(L.layer3(neighbours))
     candidates = l1.select("query_id", "pid").unionByName(l3.select("query_id", "pid")).distinct()
