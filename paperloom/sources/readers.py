@@ -38,7 +38,7 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, modified, length) without reading contents."""
+    """(path, modified, length) without reading contents; Spark leaves files without a byte out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("modificationTime").alias("modified"), "length")
 
