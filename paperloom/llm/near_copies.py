@@ -79,8 +79,8 @@ def ball_keys(shingles: np.ndarray, fingerprint: int, segments: int = SEGMENTS,
     return keys.ravel()
 
 
-def text_classes(df: DataFrame, key: str, text: str, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, class_id, shingles): the shingle set of each row, null keys and sets without shingles left out."""
+def text_classes(df: DataFrame, key: str, text: str, size: int = SHINGLE_WORDS, with_sets: bool = True) -> DataFrame:
+    """(key, class_id, shingles): the shingle set of each row, null keys and sets without shingles left out; without sets shingles is null."""
 
     def run(batches):
         words = _WordHash()
@@ -90,7 +90,7 @@ def text_classes(df: DataFrame, key: str, text: str, size: int = SHINGLE_WORDS)
             keep = [i for i, s in enumerate(sets) if len(s)]
             blobs = [sets[i].tobytes() for i in keep]
             ids = [xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["key", "class_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(ids, pa.int64()), pa.array(blobs if with_sets else [None] * len(blobs), pa.binary())], ["key", "class_id", "shingles"])
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
     return rows.mapInArrow(run, "key string, class_id bigint, shingles binary")
@@ -120,7 +120,9 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     crowded = first.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("entry")
     second = classes.select("class_id", "shingles").mapInArrow(_entries(1), "other bigint, class_id bigint")
     parted = first.join(crowded, "entry", "left_semi").join(second, "class_id").select(F.xxhash64("entry", "other").alias("entry"), "class_id")
-    candidates = _pairs(first.join(crowded, "entry", "left_anti")).unionByName(_pairs(parted)).distinct()
+    candidates = cut_lineage(_pairs(first.join(crowded, "entry", "left_anti")).unionByName(_pairs(parted)).distinct())
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    classes = classes.join(wanted, "class_id", "left_semi")
 
     def verify(batches):
         for batch in batches:
@@ -151,9 +153,9 @@ def near_copies(df: DataFrame, key: str, text: str, threshold: float = 0.8, size
     dropped; an empty table gives empty results. This compact form never
     expands copies into pairs.
     """
-    sketches = cut_lineage(text_classes(df, key, text, size))
-    members = sketches.select("key", "class_id").distinct()
-    classes = sketches.groupBy("class_id").agg(F.first("shingles").alias("shingles"))
+    # the sets are the bulk: they are kept once, one for each class, and the keys come from a pass of their own
+    members = cut_lineage(text_classes(df, key, text, size, with_sets=False).select("key", "class_id").distinct())
+    classes = cut_lineage(text_classes(df, key, text, size).groupBy("class_id").agg(F.first("shingles").alias("shingles")))
     return members, similar_classes(classes, threshold)
 
 
