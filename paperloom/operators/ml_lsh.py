@@ -20,12 +20,12 @@ TABLES, VOCABULARY, LEAST_FILES, LEAST_WORDS = 5, 1 << 18, 2, 20
 
 
 @F.udf(BooleanType())
-def _has_terms(v) -> bool:
+def _has_terms(v):
     return v is not None and bool(v.numNonzeros() > 0)
 
 
 @F.udf(ArrayType(LongType()))
-def _first_values(hashes) -> list[int]:
+def _first_values(hashes):
     return [int(h[0]) for h in hashes]
 
 
@@ -39,10 +39,11 @@ def ml_pairs(df: DataFrame, key: str, text: str, seed: int = 42) -> DataFrame:
     rows = df.filter(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern="\\W+", minTokenLength=2, toLowercase=True).transform(rows).filter(F.size("words") >= LEAST_WORDS)
     grams = NGram(n=K.SHINGLE_WORDS, inputCol="words", outputCol="grams").transform(words).select("id", "grams")
+    grams = cut_lineage(grams)  # read by the vocabulary and by the vectors
     vectors = CountVectorizer(inputCol="grams", outputCol="features", minDF=LEAST_FILES, vocabSize=VOCABULARY, binary=True).fit(grams).transform(grams)
     filled = cut_lineage(vectors.filter(_has_terms("features")))
     hashed = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=TABLES, seed=seed).fit(filled).transform(filled)
-    keyed = hashed.select("id", _first_values("hashes").alias("h"))
+    keyed = cut_lineage(hashed.select("id", _first_values("hashes").alias("h")))
     heads = keyed.groupBy("h").agg(F.min("id").alias("head"))
     entries = heads.select("head", "h", F.posexplode("h").alias("band", "value")).select("band", "value", "head")
     other = entries.withColumnRenamed("head", "b")

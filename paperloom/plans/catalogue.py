@@ -179,7 +179,7 @@ def lsh_probe_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ml_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return ml_lsh.ml_pairs(table(spark, d, "arxiv_silver_plus").dropDuplicates(["paper_id"]), "paper_id", "clean_text")
+    return ml_lsh.ml_pairs(_papers(spark, d, "clean_text").dropDuplicates(["paper_id"]), "paper_id", "clean_text")
 
 
 # ---- matching, rules, scores ------------------------------------------------
