@@ -1,6 +1,6 @@
 """Problem 3: spans of a given length that stand word for word in several records.
 
-A log-structured fingerprint index. Records are hashed into runs of bounded
+A log-structured fingerprint index. Texts are hashed into runs of bounded
 size; a run is a sorted array of the distinct window hashes of its records,
 each with the record that has it or a mark for several. Runs are immutable:
 they are cut by hash range, the parts of one range from all runs are merged in
@@ -263,17 +263,23 @@ def _marked(hashes: np.ndarray, replies: pa.Table, round_no: int, ranges: int) -
 
 
 def _as_records(df: DataFrame, run_count: int) -> DataFrame:
-    """(run, src, item_key, record, seed, text), white space at both ends of text removed."""
-    white = r"[\t-\r\x1c-\x1f \x85\xa0  -     　]+"
+    """(run, src, item_key, record, seed, text), white space at both ends of text removed.
+
+    Rows repeated are dropped, most of them before they are shuffled, and the
+    text has a part in choosing the run: neither copies of one row nor a key
+    that many rows have gather in one run.
+    """
+    white = r"[\t-\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
     text = F.regexp_replace(F.regexp_replace("text", "^" + white, ""), white + r"\z", "")
+    once = df.select("src", "item_key", text.alias("text")).withColumn("h", F.xxhash64("text")).groupBy("src", "item_key", "h").agg(F.first("text").alias("text"))
     record = F.pmod(F.xxhash64("item_key", F.lit(1)), F.lit(2**32 - 1)) + 1  # 1 .. 2**32 - 1
-    return df.select(
-        F.pmod(F.xxhash64("src", "item_key"), F.lit(run_count)).cast("int").alias("run"),
+    return once.select(
+        F.pmod(F.xxhash64("src", "item_key", "h"), F.lit(run_count)).cast("int").alias("run"),
         "src",
         "item_key",
         record.alias("record"),
         F.pmod(F.xxhash64("src", F.lit(2)), F.lit(2**62)).alias("seed"),
-        text.alias("text"),
+        "text",
     )
 
 
