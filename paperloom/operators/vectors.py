@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import constants as K
+from paperloom.session import cut_lineage
 
 #: Query vectors of one block; a block of 64-bit floats of 768 dimensions is 12 MB.
 BLOCK = 2048
@@ -58,3 +59,17 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def semantic_score(best_cosine):
     """Cosine above the threshold, stretched to 0 .. 1."""
     return F.greatest(F.lit(0.0), (best_cosine - K.SEMANTIC_THRESHOLD) / (1 - K.SEMANTIC_THRESHOLD))
+
+
+def index_positions(df: DataFrame, order: list[str], out: str = "index_position") -> DataFrame:
+    """df with the place of each row, from 0, in the order of the columns order, nulls first.
+
+    Rows are ranged over partitions and numbered there; the partitions' counts
+    give the offsets, so no task holds the whole order. Rows that tie get
+    neighbouring places.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", row))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    return ranged.join(offsets, "_part").withColumn(out, F.col("_row") + F.col("_offset")).drop("_part", "_row", "_offset")

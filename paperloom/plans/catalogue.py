@@ -247,6 +247,12 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(vecs.filter(_is_query("vec_id")), vecs, "vec_id", "embedding").select("query_id", "vec_id", "rank")
 
 
+def index_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the chunks in an index ordered by paper and chunk."""
+    rows = table(spark, d, "chunks_sample").filter("length(chunk_text) > 20").select("paper_id", "chunk_id")
+    return vectors.index_positions(rows, ["paper_id", "chunk_id"])
+
+
 def _check(spark: SparkSession, d: str) -> pipeline.Check:
     documents = table(spark, d, "documents").filter("text is not null")
     queries = documents.filter(_is_query("doc_id")).select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("raw_text"))
@@ -433,7 +439,7 @@ def queries() -> dict:
         offline_front_matter, offline_references, offline_page_numbers, offline_tail, online_front, online_references, online_tail, clean_offline, clean_online,
         sections_offline, sections_online, segments, chunks, chunks_by_section,
         shingle_counts, minhash_signatures, lsh_bucket_sizes, near_dup_levels, near_dup_classes, stored_pair_levels, lsh_probe_topk, ml_lsh_pairs,
-        equal_texts, ngram_overlap, chunk_flags, character_ratios, interval_union, verdict_counts, concept_parts, knn_cosine,
+        equal_texts, ngram_overlap, chunk_flags, character_ratios, interval_union, verdict_counts, concept_parts, knn_cosine, index_positions,
         check_matches, check_scores, check_summary, report_json, layer_verdicts, incremental_ingest,
     )
     return {f.__name__: f for f in made}
@@ -504,5 +510,6 @@ def oracle_sql() -> dict[str, str]:
         "knn_cosine": f"""WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
             p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) / q.n / c.n AS cosine FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_STEP} = 0)
             SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INTEGER AS rank FROM p) WHERE rank <= 20""",
+        "index_positions": "SELECT paper_id, chunk_id, row_number() OVER (ORDER BY paper_id NULLS FIRST, chunk_id NULLS FIRST) - 1 AS index_position FROM chunks_sample WHERE length(chunk_text) > 20",
         "incremental_ingest": "SELECT file_path, min(word_count) AS word_count_raw FROM arxiv_text_parquet GROUP BY file_path",
     }

@@ -78,3 +78,10 @@ def test_containment_and_neighbours(spark):
     near = vectors.nearest(v, v, "vec_id", "embedding", 2).filter("query_id = 1").orderBy("rank").collect()
     assert [(r["vec_id"], round(r["cosine"], 6)) for r in near] == [(2, 1.0), (3, 0.0)]
     assert vectors.nearest(v.limit(0), v.limit(0), "vec_id", "embedding").count() == 0
+
+
+def test_index_positions(spark):
+    rows = [(None, 3), ("b", 2), ("a", 9), ("a", 1), ("a", 1)] + [(f"k{i}", i) for i in range(200)]
+    got = vectors.index_positions(spark.createDataFrame(rows, "p string, c int"), ["p", "c"]).collect()
+    assert [(r["p"], r["c"]) for r in sorted(got, key=lambda r: r["index_position"])] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert sorted(r["index_position"] for r in got) == list(range(len(rows)))
