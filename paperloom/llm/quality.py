@@ -28,8 +28,8 @@ JUNK_TOKENS = 0.5
 #: Words written with a space after each letter.
 LONE_LETTERS = 0.6
 ROW_NUMBERS = 0.55
-#: Under this share of common words, lines without an end are entries.
-ENTRY_COMMON = 0.25
+#: Under this share of common words in all of a text, its lines without an end are entries.
+ENTRY_COMMON = 0.1
 
 _NUMBER = re.compile(r"[(\[]?[+\-−±]?\d[\d.,:/×^eE+\-–]*%?[)\],.;:]*\Z|run\d+[,;]?\Z")
 _ROW = re.compile(r"[^,;|\t]*(?:[,;|\t][^,;|\t]*){2,}\Z")
@@ -65,7 +65,7 @@ def token_kind(token: str) -> str:
         strange = sum(1 for c in token if "\x80" <= c <= "ɏ" or c in "™€œ¢")
         return "j" if strange * 2 > len(token) else "w"
     ascii_count = sum(map(len, ascii_letters))
-    odd = sum(1 for c in token if "\x80" <= c and not c.isalpha() and c not in "–—‐’‘“”…−†\xad¬¢•")
+    odd = sum(1 for c in token if ("\x80" <= c <= "ɏ" and not c.isalpha() and c not in "\xad¬¢") or c in "™€")
     if odd > ascii_count:
         return "j"
     if ascii_count >= 3 and max(map(len, ascii_letters)) >= 3 and not _VOWEL.search(token) and token.upper() != token:
