@@ -3,9 +3,10 @@
 A text is cut into blocks, the constructs of each language are recognised in
 them and turned into one plain notation that keeps headings, list items,
 code, tables and formulas. Two passes of block rules then part content from
-leftover navigation: the first decides by length, stop-word density and link
-density, the second lets each short undecided block inherit the label of the
-nearest decided neighbours.
+leftover navigation: only link density makes a block bad; the second pass
+lets each undecided block inherit the label of the nearest decided
+neighbours, so that what is short or has few common words goes only among
+link-dense blocks, and a text without links keeps every block.
 """
 
 from __future__ import annotations
@@ -212,9 +213,45 @@ _FROM = {"html": from_html, "markdown": from_markdown, "wiki": from_wiki, "latex
 
 #: Block rules. Lengths in characters.
 SHORT, LONG = 70, 200
-STOPWORDS_LOW, STOPWORDS_HIGH = 0.30, 0.32
+STOPWORDS_LOW = 0.30
 LINK_DENSITY = 0.4
 _STRUCTURE = re.compile(r"(#{1,6} )|(- |\d{1,3}[.)] )|(```)|(\$\$ )|([^|\n]+ \| )")
+#: Lines of lists: bullets, (i), [1], a), iv. and index entries.
+_LISTED = re.compile(
+    r"[ \t]*(?:[•‣◦▪■●○∙·⁃–—*+-]|\(?(?:[ivxlcdm]{1,7}|[a-z]|\d{1,3})\)|\[\d{1,4}\]|[ivxlcdm]{1,7}\.|\d{1,3}[.)])[ \t]+\S"
+    r"|[^\W\d][^,\n]{0,80}(?:, ?\d{1,5}(?:[-–]\d{1,5})?)+[ \t]*$",
+    re.I,
+)
+_NUMBER = re.compile(r"[-+−±(<>~]*\d[\d.,:/eE+−-]*[%)*]*")
+_WIDE = re.compile(r"\t| {2,}")
+#: Longest cell of a table that is aligned by spaces.
+CELL = 40
+
+
+def _is_row(line: str) -> bool:
+    """Cells parted by tabs, runs of spaces or commas, or single spaces where most cells are numbers."""
+    line = line.strip()
+    wide = [c.strip() for c in _WIDE.split(line) if c.strip()]
+    if len(wide) > 1 and ("\t" in line or max(map(len, wide)) <= CELL and (len(wide) > 2 or _NUMBER.fullmatch(wide[1]))):
+        return True
+    for cells in (line.split(","), line.split()):
+        numbers = sum(bool(_NUMBER.fullmatch(c.strip())) for c in cells)
+        if len(cells) > 2 and numbers * 2 > len(cells):
+            return True
+    return line.count(",") > 1 and not re.search(r"\s", line)
+
+
+def _kind(lines: list[str]) -> str:
+    """list, table or text: what a run of lines without other marks is."""
+    listed = [bool(_LISTED.match(x)) for x in lines]
+    if sum(listed) * 2 > len(lines) or listed[0] and sum(listed) > 1:
+        return "list"
+    return "table" if len(lines) > 1 and sum(map(_is_row, lines)) * 2 > len(lines) else "text"
+
+
+def _link_density(block: str) -> float:
+    linked = sum(len(x) for x in re.findall(f"{LINK}([^{END}]*){END}", block))
+    return linked / max(1, len(block.replace(LINK, "").replace(END, "").strip()))
 
 
 def blocks_of(text: str) -> list[tuple[str, str]]:
@@ -237,25 +274,22 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
         else:
             out.append((kind, [line]))
         open_block = kind in ("text", "table")
-    return [(k, "\n".join(lines)) for k, lines in out]
+    blocks = [(k, lines, "\n".join(lines)) for k, lines in out]
+    return [(_kind(lines) if k == "text" and _link_density(block) <= LINK_DENSITY else k, block) for k, lines, block in blocks]
 
 
 def first_pass(kind: str, block: str, common: frozenset[str]) -> str:
     """good, bad, near (nearly good) or short (undecided)."""
-    linked = sum(len(x) for x in re.findall(f"{LINK}([^{END}]*){END}", block))
-    plain = block.replace(LINK, "").replace(END, "")
-    size = len(plain.strip())
+    plain = block.replace(LINK, "").replace(END, "").strip()
     if kind in ("code", "formula", "table"):
         return "good"
-    if size and linked / size > LINK_DENSITY and kind == "text":
+    if kind == "text" and _link_density(block) > LINK_DENSITY:
         return "bad"
-    if size < SHORT:
+    if len(plain) < SHORT:
         return "short"
     words = plain.lower().split()
     density = sum(w.strip(".,;:()") in common for w in words) / len(words)
-    if density >= STOPWORDS_HIGH:
-        return "good" if size > LONG else "near"
-    return "near" if density >= STOPWORDS_LOW or plain.rstrip()[-1:] in tuple(".!?") else "bad"
+    return "good" if len(plain) > LONG or density >= STOPWORDS_LOW or plain[-1] in ".!?" else "near"
 
 
 def second_pass(labels: list[str]) -> list[str]:
@@ -298,7 +332,7 @@ def convert(text: str, common: frozenset[str]) -> tuple[list[str], str, list[dic
     parts = blocks_of(out)
     labels = second_pass([first_pass(k, b, common) for k, b in parts])
     bare = [(k, b.replace(LINK, "").replace(END, ""), x) for (k, b), x in zip(parts, labels)]
-    clean = "\n\n".join(b.strip("\n") if k == "code" else b.strip() for k, b, x in bare if x == "good" or k != "text")
+    clean = "\n\n".join(b.strip("\n") if k == "code" else b.rstrip().lstrip("\n") if k == "table" else b.strip() for k, b, x in bare if x == "good" or k != "text")
     return found, clean, [{"kind": k, "label": x, "text": b} for k, b, x in bare]
 
 

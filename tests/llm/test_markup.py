@@ -49,6 +49,28 @@ def test_two_passes():
     assert first_pass("text", "short one", COMMON) == "short"
 
 
+def test_texts_without_links_are_kept_whole():
+    texts = {
+        "list": ["• sparse topology discretisations\n• parallel inversion orbits\n• theoretical field curvatures", "(i) dense electrons\n(ii) generic exciton registers\n(iii) phase amplifiers, which wrap\nto a second line", "[1] Quill, Abstract stability: a careful exciton, Invented Annals 1 (2001) 347\n[2] Fenn, Network operator, Annals 37 (2007) 452", "enzyme diffusion, 279, 379\nplasma kernel sheaf, 98, 253\nmonsoon basin, 384-386"],
+        "table": ["calibration,benchmark,glacier,halo\nrun0,3360,1330,3508\nrun2,0.19,89.9%,1126\nrun3,12,7,9", "mutation\tdiffusion\tcovariance\n0\t2272\t4.89\nrun1\t6.26\t87.2%", "detector    attractor    telescope\nrun0    2701    0.36\nreceiver    1126    2613", "1 22 3.5 7\n2 31 4.5 9\n3 17 5.5 8\n4 12 6.25 9 11\n5 31 33 35 37 39 41 43 45"],
+        "text": ["kvd zmvxh lqrh gdtm xdrtcs kdjl qxzsw gjj knpsfn nncs jhsrq\nbckmg cmnj vbpdh lwnfd qffk qxjjd"],
+    }
+    for kind, each in texts.items():
+        for t in each:
+            for whole in (t, t + "\n\nA short line"):
+                found, clean, blocks = convert(whole, COMMON)
+                assert (found, clean, blocks[0]["kind"]) == ([], whole, kind), (whole, blocks)
+    prose = "However, in the case of A, we have seen B, C, and the rest\nof it, which is (as in\n[1] and others) well known to everyone,  and so it was."
+    assert convert(prose, COMMON)[2][0]["kind"] == "text"
+
+
+def test_few_common_words_go_only_among_links():
+    links = "".join(f'<a href="x">Some page {i}</a> ' for i in range(20))
+    german = "Der untere Teil beschreibt, wie jede Messung am selben Ort wiederholt wurde und welche Werte dabei herauskamen."
+    around = lambda t: convert(f"<p>{links}</p>\n\n<p>{t}</p>\n\n<p>{links}</p>", COMMON)[1]
+    assert around(german) == german and around("Skip main content jump navigation search contents random article donate create account") == ""
+
+
 def test_rows(spark):
     rows = [("a", "<b>x</b> and **y**"), ("a", "<b>x</b> and **y**"), ("n", None), ("e", ""), (None, "''w''"), ("long", "plain words of the text. " * 20_000)]
     df = spark.createDataFrame([(k, t, 1, "c") for k, t in rows], "paper_id string, clean_text string, markup int, blocks string")
