@@ -1,27 +1,22 @@
-"""The all-pairs variant on count vectors and five hash tables."""
+"""The all-pairs variant on hashed shingles and five hash tables."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer, MinHashLSH, NGram, RegexTokenizer
+from pyspark.ml.feature import HashingTF, MinHashLSH, NGram, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from paperloom import constants as K
 from paperloom.functions import similarity as S
 from paperloom.operators.metadata import base_id
 from paperloom.session import cut_lineage
 
-TABLES, VOCABULARY, LEAST_FILES, LEAST_WORDS = 5, 1 << 18, 2, 20
+#: SPACE is the number of features, below the prime of MinHashLSH.
+TABLES, SPACE, LEAST_FILES, LEAST_WORDS = 5, 1 << 30, 2, 20
 
 
-# The two helpers below look into ML vectors, whose values Spark's own
-# functions reach only by making the 2**18 places of each vector dense.
-
-
-@F.udf(BooleanType())
-def _has_terms(v):
-    return v is not None and bool(v.numNonzeros() > 0)
+# The helper below looks into ML vectors, which Spark's own functions don't reach.
 
 
 @F.udf(ArrayType(LongType()))
@@ -32,17 +27,25 @@ def _first_values(hashes):
 def ml_pairs(df: DataFrame, key: str, text: str, seed: int = 42) -> DataFrame:
     """(id_a, id_b, jaccard_similarity, similarity_level): pairs that agree in at least half of five hash tables.
 
-    Tokens are split on ASCII non-word characters. Copies with the same hashes
-    are one row in the buckets, joined back to their least key afterwards;
-    a bucket is a plain join key, of any size.
+    Tokens are split on ASCII non-word characters. Every shingle of at least
+    LEAST_FILES (2) texts takes part, at any size: shingles are hashed into a
+    space of 2**30 features instead of the published vocabulary of the 2**18
+    most frequent ones. What only one text has is taken out of that text's
+    list, by counts that are added up before they are moved, so frequent
+    shingles gather nowhere. Copies with the same hashes are one row in the
+    buckets, joined back to their least key afterwards; a bucket is a plain
+    join key, of any size.
     """
     rows = df.filter(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern="\\W+", minTokenLength=2, toLowercase=True).transform(rows).filter(F.size("words") >= LEAST_WORDS)
-    grams = NGram(n=K.SHINGLE_WORDS, inputCol="words", outputCol="grams").transform(words).select("id", "grams")
-    grams = cut_lineage(grams)  # read by the vocabulary and by the vectors
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", minDF=LEAST_FILES, vocabSize=VOCABULARY, binary=True).fit(grams).transform(grams)
-    filled = cut_lineage(vectors.filter(_has_terms("features")))
-    hashed = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=TABLES, seed=seed).fit(filled).transform(filled)
+    grams = NGram(n=K.SHINGLE_WORDS, inputCol="words", outputCol="grams").transform(words)
+    hashes = grams.select("id", F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))).alias("all"))
+    hashes = cut_lineage(hashes.withColumn("row", F.monotonically_increasing_id()))  # read by the counts and by the vectors
+    lone = hashes.select("row", F.explode("all").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("row").alias("row")).filter(F.col("n") < LEAST_FILES)
+    lone = lone.groupBy("row").agg(F.collect_list("h").alias("lone"))
+    shared = hashes.join(lone, "row", "left").select("id", F.when(F.col("lone").isNull(), F.col("all")).otherwise(F.array_except("all", "lone")).alias("shared"))
+    vectors = HashingTF(inputCol="shared", outputCol="features", numFeatures=SPACE, binary=True).transform(shared.filter(F.size("shared") > 0))
+    hashed = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=TABLES, seed=seed).fit(vectors).transform(vectors)
     keyed = cut_lineage(hashed.select("id", _first_values("hashes").alias("h")))
     heads = keyed.groupBy("h").agg(F.min("id").alias("head"))
     entries = heads.select("head", "h", F.posexplode("h").alias("band", "value")).select("band", "value", "head")

@@ -70,6 +70,22 @@ def test_near_duplicates_and_probe(spark):
     assert ml_lsh.ml_pairs(df, "doc_id", "text").filter("id_a = '100' AND id_b = '102'").count() == 1
 
 
+def test_every_shared_shingle_takes_part(spark):
+    def words(i):
+        return [f"t{i}w{j}" for j in range(300)]
+
+    rows = []
+    for i in range(450):  # 450 pairs of copies with 296 shingles each are 133,200 shared by two texts; the frequent text has the rest of 2**18
+        rows += [(f"a{i}", " ".join(words(i))), (f"b{i}", " ".join(words(i)))]
+    for i in range(3):
+        rows.append((f"c{i}", " ".join(f"f{j}" for j in range(200_000))))
+    df = spark.createDataFrame(rows, "id string, text string").repartition(8)
+    got = {(r["id_a"], r["id_b"]): r["jaccard_similarity"] for r in ml_lsh.ml_pairs(df, "id", "text").collect()}
+    assert all(got.get((f"a{i}", f"b{i}")) == 1.0 for i in range(450))
+    lone = spark.createDataFrame([("x", " ".join(words(1))), ("y", " ".join(words(2))), ("z", " ".join([*words(1), *words(3)]))], "id string, text string")
+    assert [(r["id_a"], r["id_b"], r["jaccard_similarity"]) for r in ml_lsh.ml_pairs(lone, "id", "text").collect()] == [("x", "z", 1.0)]
+
+
 def test_containment_and_neighbours(spark):
     df = spark.createDataFrame([(1, "a1 b2 c3 d4 e5 f6 g7"), (2, "x1 a1 b2 c3 d4 e5 f6 g7 y1"), (3, "a1 b2 c3 d4 e5 q q"), (4, None)], "id bigint, t string")
     got = {(r["query_id"], r["source_id"]): r["ngram_overlap"] for r in containment_join(df, df, "id", "t", 0.3).collect()}
