@@ -73,6 +73,23 @@ def different_papers(pairs: DataFrame) -> DataFrame:
     return pairs.filter(base_id(F.col("id_a").cast("string")) != base_id(F.col("id_b").cast("string")))
 
 
+def bucket_mates(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """(query_id, candidate, jaccard_similarity): every bucket mate of each query, without a cut.
+
+    queries and index have (key, signature). Equal signatures are one class on
+    either side while buckets are joined and signatures compared; members are
+    joined back afterwards. A key isn't its own candidate; of a key with
+    several signatures the best counts.
+    """
+    asking, q = _classes(queries, key)
+    members, c = _classes(index, key)
+    side = lambda df, n: df.select(F.col("class_id").alias(n), F.col("signature").alias(f"s{n}"))
+    met = bucket_table(q, "class_id").withColumnRenamed("class_id", "a").join(bucket_table(c, "class_id").withColumnRenamed("class_id", "b"), ["band", "bucket"]).select("a", "b").distinct()
+    scored = met.join(side(q, "a"), "a").join(side(c, "b"), "b").select("a", "b", S.agreement(F.col("sa"), F.col("sb")).alias("jaccard_similarity"))
+    found = scored.join(asking.select(F.col(key).alias("query_id"), F.col("class_id").alias("a")), "a").join(members.select(F.col(key).alias("candidate"), F.col("class_id").alias("b")), "b")
+    return found.filter(F.col("query_id") != F.col("candidate")).groupBy("query_id", "candidate").agg(F.max("jaccard_similarity").alias("jaccard_similarity"))
+
+
 def probe(queries: DataFrame, index: DataFrame, key: str, most: int = K.MAX_CANDIDATES) -> DataFrame:
     """(query_id, candidate, jaccard_similarity, rank): for each query its most similar bucket mates.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as X
 from paperloom.operators import layers as L
 from paperloom.operators.exclusion import apply_exclusion
-from paperloom.operators.lsh import probe, sign
+from paperloom.operators.lsh import bucket_mates, sign
 from paperloom.operators.matching import find_matches, make_segments
 from paperloom.operators.scoring import similarity_scores, source_contributions
 from paperloom.session import cut_lineage
@@ -45,23 +45,35 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return cleaned.withColumn("s", X.sections_online(F.col("clean_text"))).select("*", "s.introduction", "s.body").drop("s")
 
 
+def _heads(papers: DataFrame, columns: list[str]) -> DataFrame:
+    """(paper_id, head): the least id of the papers that are equal in all columns; rows of one id are one paper."""
+    each = papers.select("paper_id", F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")).groupBy("paper_id").agg(F.array_sort(F.collect_set("h")).alias("h"))
+    return each.join(each.groupBy("h").agg(F.min("paper_id").alias("head")), "h").select("paper_id", "head")
+
+
 def check(queries: DataFrame, signatures: DataFrame, lookup: DataFrame, citation_mode: str = "reference") -> Check:
     """Hold any number of queries(query_id, raw_text) against an index.
 
     signatures: (paper_id, signature); lookup: (paper_id, title, introduction,
     body, clean_text), where a blank body is replaced by clean_text. A query
-    isn't compared with a paper of its own id.
+    isn't compared with a paper of its own id. Every bucket mate is a
+    candidate; papers with equal texts are compared once and joined back.
     """
     texts = cut_lineage(prepare_queries(queries))
     words = texts.withColumn("_q", X.query_text(F.col("clean_text"), F.col("introduction"), F.col("body")))
     own = sign(words.select(F.col("query_id").alias("paper_id"), "_q"), "paper_id", "_q", least_chars=0)
-    candidates = cut_lineage(probe(own, signatures, "paper_id"))
+    candidates = cut_lineage(bucket_mates(own, signatures, "paper_id"))
     found = lookup.join(candidates.select(F.col("candidate").alias("paper_id")).distinct(), "paper_id", "left_semi").dropDuplicates(["paper_id"])
     body = F.when(X.strip(F.coalesce("body", F.lit(""))) == "", F.col("clean_text")).otherwise(F.col("body"))
     sections = [("introduction", "introduction"), ("body", "body")]
-    sources = make_segments(found.withColumn("body", body), "paper_id", sections, carry=["title"])
+    found = cut_lineage(found.withColumn("body", body))  # a paper of several rows keeps one of them
+    members = cut_lineage(_heads(found, ["introduction", "body"]))
+    sources = make_segments(found.join(members.select(F.col("head").alias("paper_id")).distinct(), "paper_id", "left_semi"), "paper_id", sections, carry=["title"])
     segments = make_segments(texts, "query_id", sections)
-    raw = find_matches(segments, sources, candidates.select("query_id", F.col("candidate").alias("paper_id")))
+    asked = candidates.select("query_id", F.col("candidate").alias("paper_id")).join(members, "paper_id")
+    compared = find_matches(segments, sources, asked.select("query_id", F.col("head").alias("paper_id")).distinct())
+    named = asked.join(found.select("paper_id", F.col("title").alias("source_title")), "paper_id").withColumnsRenamed({"paper_id": "source_paper_id", "head": "_head"})
+    raw = compared.withColumnRenamed("source_paper_id", "_head").drop("source_title").join(named, ["query_id", "_head"]).drop("_head")
     matches = cut_lineage(apply_exclusion(raw.join(texts.select("query_id", "references_text"), "query_id"), mode=citation_mode).drop("references_text"))
     return Check(texts, segments, candidates, matches, similarity_scores(texts, matches), source_contributions(texts, matches))
 
@@ -69,13 +81,19 @@ def check(queries: DataFrame, signatures: DataFrame, lookup: DataFrame, citation
 def verdict(queries: DataFrame, signatures: DataFrame, papers: DataFrame, neighbours: DataFrame) -> DataFrame:
     """One verdict row for each of queries(query_id, clean_text, title, abstract, authors).
 
-    neighbours(query_id, pid, cosine) are the nearest chunks' papers.
+    neighbours(query_id, pid, cosine) are the nearest chunks' papers. Every
+    bucket mate is a candidate; papers with equal texts are compared once.
     """
     own = sign(queries.select(F.col("query_id").alias("paper_id"), "clean_text"), "paper_id", "clean_text", least_chars=0)
-    l1 = cut_lineage(L.layer1(probe(own, signatures, "paper_id")))
+    l1 = cut_lineage(L.layer1(bucket_mates(own, signatures, "paper_id")))
     l3 = cut_lineage(L.layer3(neighbours))
     candidates = l1.select("query_id", "pid").unionByName(l3.select("query_id", "pid")).distinct()
-    l2 = cut_lineage(L.layer2(queries, candidates, papers))
-    l4 = L.layer4(queries, candidates, papers)
+    near = papers.join(candidates.select(F.col("pid").alias("paper_id")).distinct(), "paper_id", "left_semi")
+    heads = cut_lineage(_heads(near, ["title", "abstract", "introduction", "body"]).withColumnRenamed("paper_id", "pid"))
+    asked = candidates.join(heads, "pid")
+    once = asked.select("query_id", F.col("head").alias("pid")).distinct()
+    l2 = L.layer2(queries, once, papers).withColumnRenamed("pid", "head")
+    l2 = cut_lineage(asked.join(l2, ["query_id", "head"]).drop("head"))
+    l4 = L.layer4(queries, once, papers)  # only its best value of a query counts
     l5 = L.layer5(queries, L.all_scores(l1, l2, l3), papers)
     return L.verdicts(queries, l1, l2, l3, l4, l5)

@@ -85,6 +85,26 @@ def test_check_end_to_end(spark):
     assert report["q1"]["top_sources"][0]["source_paper_id"] == "p1" and "<h1>" in writers.render_html(report["q1"])
 
 
+def test_candidates_after_the_fiftieth(spark):
+    para = lambda s: " ".join(f"{s}{i} token" for i in range(60))
+    copies = [(f"a{i:02}", f"T{i}", "", para("a") + "\n\n" + para("b")) for i in range(55)]
+    papers = spark.createDataFrame([*copies, ("zz", "Z", "", para("a") + "\n\n" + para("b") + "\n\n" + para("c"))], "paper_id string, title string, introduction string, body string").withColumn("clean_text", F.col("body")).withColumn("abstract", F.lit(None).cast("string"))
+    text = para("a") + "\n\n" + para("b")
+    signed = sign(papers, "paper_id", "clean_text")
+    made = pipeline.check(spark.createDataFrame([("q1", text), ("a00", text)], "query_id string, raw_text string"), signed, papers)
+    got = {}
+    for r in made.sources.collect():
+        got.setdefault(r["query_id"], {})[r["source_paper_id"]] = (r["source_title"], r["contribution_percent"])
+    every = {p: (t, 100.0) for p, t, _, _ in copies} | {"zz": ("Z", 100.0)}
+    assert got["q1"] == every
+    assert got["a00"] == {k: v for k, v in every.items() if k != "a00"}  # its equals are sources, itself isn't
+    queries = spark.createDataFrame([("q1", text, "T", "", ["Ann Doe"])], "query_id string, clean_text string, title string, abstract string, authors array<string>")
+    authors = papers.withColumn("authors", F.when(F.col("paper_id") == "zz", F.array(F.lit("Ann Doe"))).otherwise(F.array(F.lit("Jo Roe"))))
+    none = spark.createDataFrame([], "query_id string, pid string, cosine double")
+    r = pipeline.verdict(queries, signed, authors, none).first()
+    assert r["l1"] == 1.0 and r["l5"] > 0.5 and r["self_overlap"]
+
+
 def test_verdict_borders(spark):
     rows = [(0.0, 0.0, 0.0, 0.0, 0.0), (1.0, 1.0, 1.0, 1.0, 1.0), (0.04, 0.0, 1.0, 0.0, 0.6), (0.5, 0.2, 0.4, 0.0, 0.0), (0.0, 0.0, 0.5, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "l1 double, l2 double, l3 double, l4 double, l5 double")
