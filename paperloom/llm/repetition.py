@@ -28,8 +28,9 @@ from paperloom.session import cut_lineage
 
 SEQUENCE = 8
 SHARE = 0.3
-#: Most word pairs and words the model may hold; beyond that the rarest are
-#: left to the back-off. This bounds what is broadcast to 12 bytes times that.
+#: Most word pairs and words the broadcast part of the model may hold, which
+#: bounds it to 12 bytes times that. Rarer pairs stay in a table that the
+#: documents' pairs are joined with, so probabilities are those of all pairs.
 MODEL_PAIRS, MODEL_WORDS = 1_000_000, 500_000
 #: A band reaches so many robust deviations from the median of its language.
 BAND = 4.0
@@ -119,16 +120,30 @@ def _discount(n, d) -> F.Column:
 
 
 class Model:
-    """Sorted hash arrays: pairs with their log probability, words with their own and the weight of their back-off."""
+    """Sorted hash arrays: pairs with their log probability, words with their own and the weight of their back-off.
+
+    rest has the pairs that are too many for the arrays, as a table (a, b,
+    log); None if there are none.
+    """
+
+    rest: DataFrame | None = None
 
     def __init__(self, pairs, words, unknown: float):
         self.pairs, self.pair_log = pairs
         self.words, self.word_log, self.backoff = words
         self.unknown = unknown
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "rest"}
+
     def log_probabilities(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of each word after the one before, from the arrays alone."""
+        return self.look_up(words, starts)[0]
+
+    def look_up(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probabilities, the words before, and whether the arrays have the pair."""
         if not len(words):
-            return np.zeros(0)
+            return np.zeros(0), words, np.zeros(0, dtype=bool)
         before = np.r_[np.uint64(0), words[:-1]]
         before[starts[:-1][np.diff(starts) > 0]] = 0
         own, known = _look_up(self.words, words)
@@ -136,7 +151,7 @@ class Model:
         prior, seen = _look_up(self.words, before)
         log = log + np.where(seen, self.backoff[prior], 0.0)
         at, found = _look_up(self.pairs, pair_key(before, words))
-        return np.where(found, self.pair_log[at], log)
+        return np.where(found, self.pair_log[at], log), before, found
 
 
 def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,9 +187,8 @@ def fit_model(df: DataFrame, text: str) -> Model:
     own = following.select("b", "k", ((F.col("k") - _discount(F.col("k"), d1)) / total + spare).alias("p"))
     given = pairs.groupBy("a").agg(F.sum("n").alias("all"), F.sum(_discount(F.col("n"), d2)).alias("held")).select("a", "all", (F.col("held") / F.col("all")).alias("weight"))
     cut = _fitting(pairs, "n", MODEL_PAIRS)
-    scored = pairs.filter(F.col("n") >= cut).join(own, "b").join(given, "a")
-    scored = scored.select("a", "b", F.log((F.col("n") - _discount(F.col("n"), d2)) / F.col("all") + F.col("weight") * F.col("p")).cast("float").alias("log"))
-    table = scored.toArrow()  # at most MODEL_PAIRS rows
+    score = lambda some: some.join(own, "b").join(given, "a").select("a", "b", F.log((F.col("n") - _discount(F.col("n"), d2)) / F.col("all") + F.col("weight") * F.col("p")).cast("float").alias("log"))
+    table = score(pairs.filter(F.col("n") >= cut)).toArrow()  # at most MODEL_PAIRS rows
     key = pair_key(table["a"].to_numpy().view(np.uint64), table["b"].to_numpy().view(np.uint64))
     order = np.argsort(key)
     kept = own.withColumnRenamed("b", "w").join(given.withColumnRenamed("a", "w"), "w", "full_outer").fillna({"k": 0})
@@ -184,38 +198,61 @@ def fit_model(df: DataFrame, text: str) -> Model:
     vocabulary = kept.select("w", F.coalesce(F.log("p"), F.lit(unknown)).cast("float").alias("log"), F.coalesce(F.log("weight"), F.lit(0.0)).cast("float").alias("back")).toArrow()  # at most MODEL_WORDS rows
     w = vocabulary["w"].to_numpy().view(np.uint64)
     by = np.argsort(w)
-    return Model(
+    if not len(w):  # not even the most frequent ones fit
+        w, by = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        vocabulary = pa.table({"log": [unknown], "back": [0.0]})
+    if not len(key):
+        key, order, table = np.zeros(1, np.uint64), np.zeros(1, np.int64), pa.table({"log": [unknown]})
+    model = Model(
         (key[order], table["log"].to_numpy()[order]),
         (w[by], vocabulary["log"].to_numpy()[by], vocabulary["back"].to_numpy()[by]),
         unknown,
     )
+    if len(table) < total:
+        model.rest = score(pairs.filter(F.col("n") < cut))
+    return model
 
 
 def measure(df: DataFrame, key: str, text: str, lang: str, model: Model, length: int = SEQUENCE) -> DataFrame:
     """(key, lang, n_words, repeated_share, log_perplexity) of each row of df.
 
     Null and empty texts have n_words 0, share 0 and null log_perplexity.
+    Pairs that the model's arrays lack are joined with its rest; they are the
+    rare ones, so no key of that join is hot.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, rest = df.sparkSession.sparkContext.broadcast(model), model.rest
+
+    more = rest is not None
 
     def run(batches):
         hashes, m = _Hashes(), shared.value
         for batch in batches:
             for first, words, starts in _steps(batch.column(2), hashes):
                 n = np.diff(starts)
-                sums = np.r_[0.0, np.cumsum(m.log_probabilities(words, starts))]
+                log, before, found = m.look_up(words, starts)
+                sums = np.r_[0.0, np.cumsum(log, dtype=np.float64)]
                 with np.errstate(invalid="ignore", divide="ignore"):
                     mean = -(sums[starts[1:]] - sums[starts[:-1]]) / n
                 part = batch.slice(first, len(n))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n), pa.array(repeated_share(words, starts, length)), pa.array(mean, mask=n == 0)],
-                    ["key", "lang", "n_words", "repeated_share", "log_perplexity"],
-                )
+                made = [part.column(0), part.column(1), pa.array(n), pa.array(repeated_share(words, starts, length)), pa.array(mean, mask=n == 0)]
+                if more:
+                    at = np.flatnonzero(~found)
+                    each = pa.StructArray.from_arrays([pa.array(before[at].view(np.int64)), pa.array(words[at].view(np.int64)), pa.array(log[at].astype(np.float64))], ["a", "b", "back"])
+                    made.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(at, starts).astype(np.int32)), each))
+                yield pa.RecordBatch.from_arrays(made, ["key", "lang", "n_words", "repeated_share", "log_perplexity", "missing"][: len(made)])
 
     kind = df.schema[key].dataType.simpleString()
     language = F.coalesce(F.lower(F.trim(lang)), F.lit("und"))
     chosen = df.select(F.col(key).alias("key"), language.alias("lang"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, f"key {kind}, lang string, n_words bigint, repeated_share double, log_perplexity double").withColumnRenamed("key", key)
+    schema = f"key {kind}, lang string, n_words bigint, repeated_share double, log_perplexity double"
+    if not more:
+        return chosen.mapInArrow(run, schema).withColumnRenamed("key", key)
+    looked = chosen.mapInArrow(run, schema + ", missing array<struct<a:bigint,b:bigint,back:double>>")
+    looked = cut_lineage(looked.withColumn("row", F.monotonically_increasing_id()))  # read by the join and by what it adds to
+    wanted = looked.select("row", F.explode("missing").alias("m")).select("row", "m.*")
+    gain = wanted.join(rest, ["a", "b"]).groupBy("row").agg(F.sum(F.col("log") - F.col("back")).alias("gain"))
+    summed = looked.drop("missing").join(gain, "row", "left").withColumn("log_perplexity", F.col("log_perplexity") - F.coalesce("gain", F.lit(0.0)) / F.col("n_words"))
+    return summed.drop("row", "gain").withColumnRenamed("key", key)
 
 
 def repetition(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = SHARE) -> DataFrame:

@@ -70,3 +70,18 @@ def test_model_keeps_within_its_bound(spark):
         kept = sum(n >= cut for n in counts)
         assert kept <= most and (most < 84 or kept == 84)
     assert R._fitting(df, "n", 34) == 2 and R._fitting(df, "n", 9) == 1024
+
+
+def test_pairs_beyond_the_bound_count_as_well(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(_texts()[:-1])], "doc_id bigint, text string, lang string").repartition(3)
+    rows = lambda: {r["doc_id"]: r for r in R.repetition(df).collect()}
+    want = rows()
+    for most in ((0, 0), (5, 3), (200, 50)):
+        monkeypatch.setattr(R, "MODEL_PAIRS", most[0])
+        monkeypatch.setattr(R, "MODEL_WORDS", most[1])
+        got = rows()
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            for c in ("perplexity", "lower", "upper"):
+                assert (got[k][c] is None) == (w[c] is None) and (w[c] is None or math.isclose(got[k][c], w[c], rel_tol=1e-4)), (most, k, c)
+            assert got[k]["band"] == w["band"] and got[k]["repeated"] == w["repeated"]
