@@ -8,6 +8,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -33,12 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Tables of more bytes than this, by the scan's size, are never dealt out anew.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, where its files give fewer.
+    """A small df over as many partitions as there are cores, where its files give fewer.
 
-    For work that costs far more than moving the rows; a no-op on any table
-    large enough to fill the cluster.
+    For work that costs far more than moving the rows. What is moved is at
+    most SPREAD_BYTES at any size of the cluster; larger tables keep the
+    partitions of their scan.
     """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -64,3 +72,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of one key that one join task may meet, and hot keys that are broadcast at most (some 3 MB).
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
+
+
+def split_hot(left: DataFrame, right: DataFrame, on: list[str], most: int = HOT_ROWS, part: str = "_part") -> tuple[DataFrame, DataFrame, list[str]]:
+    """(left, right, keys) whose inner join on keys is that of left and right on on, with hot keys split.
+
+    A key of more than most rows on the left is dealt over so many parts that
+    each has about most of them, and its rows on the right are repeated for
+    each part, so neither a task nor a driver gathers it. Left is read twice
+    and should be a stored table. Without hot keys nothing is added, else the
+    column part on both sides.
+    """
+    hot = left.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*on, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    hot = cut_lineage(hot)
+    found = hot.limit(HOT_KEYS + 1).count()
+    if not found:
+        return left, right, on
+    small = F.broadcast(hot) if found <= HOT_KEYS else hot
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(small, on, "left").withColumn(part, F.pmod(F.xxhash64(*left.columns, F.lit(1)), parts).cast("int")).drop("_parts")
+    copied = right.join(small, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt, copied, [*on, part]
