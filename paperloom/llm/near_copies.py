@@ -10,14 +10,16 @@ exact Jaccard similarity of the shingle sets.
 
 With 24 segments of three symbols a pair of similarity 0.5 is missed with
 probability 0.5 ** 24, and a likelier one less often still. Texts with equal
-shingle sets are one class with one fingerprint. A table entry that many
-classes share is not paired at once: its classes are first parted by the
-balls of a second, independent fingerprint, which costs similar pairs nothing
-and takes the chance ones out.
+shingle sets are one class with one fingerprint. A table entry carries four
+bits of each of 64 symbols, so the distance of what meets in it is known at
+once and chance pairs go no further: of pairs at the threshold less than one
+in ten million is lost to it. An entry that many classes share is dealt over
+several tasks.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import mix64
-from paperloom.session import cut_lineage
+from paperloom.session import cut_lineage, split_hot
 
 SHINGLE_WORDS = 5
 SEGMENTS, SEGMENT_SYMBOLS = 24, 3
-#: Classes that may share a table entry before it is parted by the second fingerprint.
-CROWD = 500
+#: Symbols of the fingerprint kept with an entry, bits of each, and the share of pairs at the threshold that may be lost to them.
+SKETCH_SYMBOLS, SKETCH_BITS, SKETCH_LOSS = 64, 4, 1e-7
+#: Candidates of one class that one task compares.
+PARTNERS = 1000
 
 _WORDS = re.compile(r"\w{2,}").findall
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,69 +64,94 @@ def shingle_set(text: str | None, words: _WordHash, size: int = SHINGLE_WORDS) -
     return np.unique(mix64(total))
 
 
-def _symbols(shingles: np.ndarray, first: int, count: int) -> np.ndarray:
-    """Min-hash symbols first .. first + count of a set, 32 bits each."""
-    seeds = mix64(np.arange(first + 1, first + count + 1, dtype=np.uint64) * _SPREAD)
-    return np.array([mix64(shingles ^ s).min() >> np.uint64(32) for s in seeds], dtype=np.uint64)
+#: Odd multipliers, one for each symbol: shingle hashes are mixed already, and an odd factor permutes them.
+_FACTORS = mix64(np.arange(1, SEGMENTS * SEGMENT_SYMBOLS + 1, dtype=np.uint64) * _SPREAD) | np.uint64(1)
 
 
-def ball_keys(shingles: np.ndarray, fingerprint: int, segments: int = SEGMENTS, width: int = SEGMENT_SYMBOLS) -> np.ndarray:
-    """Table entries of a set: of each segment, every way to leave out one symbol."""
-    symbols = _symbols(shingles, fingerprint * 1_000_000, segments * width).reshape(segments, width)
-    keys = np.empty((segments, width), dtype=np.uint64)
+def _symbols(shingles: np.ndarray) -> np.ndarray:
+    """Min-hash symbols of a set, 32 bits each."""
+    low = np.full(len(_FACTORS), np.uint64(2**64 - 1))
+    for at in range(0, len(shingles), 512):
+        np.minimum(low, (_FACTORS[:, None] * shingles[None, at : at + 512]).min(axis=1), out=low)
+    return mix64(low) >> np.uint64(32)
+
+
+def ball_keys(symbols: np.ndarray, segments: int = SEGMENTS, width: int = SEGMENT_SYMBOLS) -> np.ndarray:
+    """Table entries of each row of symbols: of each segment, every way to leave out one symbol."""
+    parts = symbols.reshape(-1, segments, width)
+    keys = np.empty(parts.shape, dtype=np.uint64)
     for out in range(width):
-        value = np.arange(segments, dtype=np.uint64) * np.uint64(width) + np.uint64(out + 1)
+        value = np.broadcast_to(np.arange(segments, dtype=np.uint64) * np.uint64(width) + np.uint64(out + 1), parts.shape[:2])
         for j in range(width):
             if j != out:
-                value = mix64(value * _SPREAD ^ symbols[:, j])
-        keys[:, out] = value
-    return keys.ravel()
+                value = mix64(value * _SPREAD ^ parts[:, :, j])
+        keys[:, :, out] = value
+    return keys.reshape(len(parts), -1)
+
+
+def sketches(symbols: np.ndarray) -> np.ndarray:
+    """Planes of SKETCH_BITS bits of the first SKETCH_SYMBOLS symbols of each row, 64 symbols in an integer."""
+    place = np.uint64(1) << np.arange(SKETCH_SYMBOLS, dtype=np.uint64)
+    return np.stack([(((symbols[:, :SKETCH_SYMBOLS] >> np.uint64(b)) & np.uint64(1)) * place).sum(axis=1, dtype=np.uint64) for b in range(SKETCH_BITS)])
+
+
+def least_agreement(threshold: float, loss: float = SKETCH_LOSS) -> int:
+    """Symbols of a sketch that must agree, so that a pair at the threshold fails with less than the probability loss."""
+    p, total = threshold + (1 - threshold) / 2**SKETCH_BITS, 0.0
+    for k in range(SKETCH_SYMBOLS + 1):
+        total += math.comb(SKETCH_SYMBOLS, k) * p**k * (1 - p) ** (SKETCH_SYMBOLS - k)
+        if total > loss:
+            return k
+    return SKETCH_SYMBOLS
 
 
-def text_classes(df: DataFrame, key: str, text: str, size: int = SHINGLE_WORDS, with_sets: bool = True) -> DataFrame:
-    """(key, class_id, shingles): the shingle set of each row, null keys and sets without shingles left out; without sets shingles is null."""
+def text_classes(df: DataFrame, key: str, text: str, size: int = SHINGLE_WORDS) -> DataFrame:
+    """(key, class_id, shingles) of each row with a key: its shingle set and a hash of it, null for texts without shingles."""
 
     def run(batches):
         words = _WordHash()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sets = [shingle_set(t, words, size) for t in texts]
-            keep = [i for i, s in enumerate(sets) if len(s)]
-            blobs = [sets[i].tobytes() for i in keep]
-            ids = [xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(ids, pa.int64()), pa.array(blobs if with_sets else [None] * len(blobs), pa.binary())], ["key", "class_id", "shingles"])
-
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
+            sets = [shingle_set(t, words, size) for t in batch.column(1).to_pylist()]
+            blobs = [s.tobytes() if len(s) else None for s in sets]
+            ids = [None if b is None else xxhash.xxh3_64_intdigest(b) - (1 << 63) for b in blobs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["key", "class_id", "shingles"])
+
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key is not null")
     return rows.mapInArrow(run, "key string, class_id bigint, shingles binary")
 
 
-def _entries(fingerprint: int):
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            blobs = batch.column(1).to_pylist()
-            for at in range(0, len(blobs), 4096):
-                keys = [ball_keys(np.frombuffer(b, dtype=np.uint64), fingerprint) for b in blobs[at : at + 4096]]
-                flat = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(ids[at : at + 4096], len(keys[0])))], ["entry", "class_id"])
+_PLANES = [f"s{i}" for i in range(SKETCH_BITS)]
 
-    return run
 
+def _entries(batches):
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        blobs = batch.column(1).to_pylist()
+        for at in range(0, len(blobs), 2048):
+            symbols = np.stack([_symbols(np.frombuffer(b, dtype=np.uint64)) for b in blobs[at : at + 2048]])
+            keys = ball_keys(symbols)
+            each = keys.shape[1]
+            columns = [keys.ravel().view(np.int64), np.repeat(ids[at : at + 2048], each), *(np.repeat(p.view(np.int64), each) for p in sketches(symbols))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["entry", "class_id", *_PLANES])
 
-def _pairs(entries: DataFrame) -> DataFrame:
-    other = entries.select("entry", F.col("class_id").alias("b"))
-    return entries.withColumnRenamed("class_id", "a").join(other, "entry").filter("a < b").select("a", "b")
 
+def candidates_of(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: classes whose balls meet in an entry and whose sketches are near enough."""
+    entries = cut_lineage(classes.select("class_id", "shingles").mapInArrow(_entries, "entry bigint, class_id bigint, " + ", ".join(f"{p} bigint" for p in _PLANES)))
+    left, right, on = split_hot(entries, entries, ["entry"])
+    left = left.withColumnsRenamed({"class_id": "a"} | {p: f"a_{p}" for p in _PLANES})
+    right = right.withColumnsRenamed({"class_id": "b"} | {p: f"b_{p}" for p in _PLANES})
+    differ = " | ".join(f"(a_{p} ^ b_{p})" for p in _PLANES)
+    near = F.expr(f"bit_count({differ}) <= {SKETCH_SYMBOLS - least_agreement(threshold)}")
+    return left.join(right, on).filter(F.col("a") < F.col("b")).filter(near).select("a", "b").distinct()
 
-def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of classes(class_id, shingles) of at least the threshold."""
-    first = classes.select("class_id", "shingles").mapInArrow(_entries(0), "entry bigint, class_id bigint")
-    crowded = first.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("entry")
-    second = classes.select("class_id", "shingles").mapInArrow(_entries(1), "other bigint, class_id bigint")
-    parted = first.join(crowded, "entry", "left_semi").join(second, "class_id").select(F.xxhash64("entry", "other").alias("entry"), "class_id")
-    candidates = cut_lineage(_pairs(first.join(crowded, "entry", "left_anti")).unionByName(_pairs(parted)).distinct())
+
+def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of classes of at least the threshold; sets(class_id, shingles) is a stored table and may repeat a class."""
+    once = lambda df: df.groupBy("class_id").agg(F.first("shingles").alias("shingles"))
+    candidates = cut_lineage(candidates_of(once(sets), threshold))
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    classes = classes.join(wanted, "class_id", "left_semi")
+    classes = cut_lineage(once(sets.join(wanted, "class_id", "left_semi")))
 
     def verify(batches):
         for batch in batches:
@@ -139,31 +168,41 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
             keep = share >= threshold
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(share[keep])], ["a", "b", "similarity"])
 
+    # a class of very many partners is dealt over several tasks
     side = lambda name: classes.select(F.col("class_id").alias(name), F.col("shingles").alias(f"set_{name}"))
-    both = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(verify, "a bigint, b bigint, similarity double")
+    left, set_a, on_a = split_hot(candidates, side("a"), ["a"], PARTNERS, "_part_a")
+    left, set_b, on_b = split_hot(left, side("b"), ["b"], PARTNERS, "_part_b")
+    both = left.join(set_a, on_a).join(set_b, on_b)
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint, similarity double")
 
 
 def near_copies(df: DataFrame, key: str, text: str, threshold: float = 0.8, size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(key, class_id) of each key, links(a, b, similarity) between classes.
 
     Two keys are similar if their classes are the same or linked. Rows of one
-    key with different texts put it into several classes. Null keys, null
-    texts and texts under size words are in no class; other columns are
-    dropped; an empty table gives empty results. This compact form never
-    expands copies into pairs.
+    key with different texts put it into several classes. A key that has only
+    null texts or texts under size words has one row with a null class_id;
+    null keys are left out and other columns dropped; an empty table gives
+    empty results. This compact form never expands copies into pairs.
     """
-    # the sets are the bulk: they are kept once, one for each class, and the keys come from a pass of their own
-    members = cut_lineage(text_classes(df, key, text, size, with_sets=False).select("key", "class_id").distinct())
-    classes = cut_lineage(text_classes(df, key, text, size).groupBy("class_id").agg(F.first("shingles").alias("shingles")))
-    return members, similar_classes(classes, threshold)
+    sets = cut_lineage(text_classes(df, key, text, size))
+    known = sets.filter("class_id is not null")
+    found = known.select("key", "class_id").distinct()
+    alone = sets.filter("class_id is null").select("key", "class_id").distinct().join(known, "key", "left_anti")
+    return cut_lineage(found.unionByName(alone)), similar_classes(known, threshold)
 
 
 def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: every pair of different keys, copies expanded."""
+    """(key_a, key_b), key_a < key_b: every pair of different keys, copies expanded; members is a stored table."""
+    members = members.filter("class_id is not null")
     own = lambda name: members.select(F.col("key").alias(f"key_{name}"), F.col("class_id").alias(name))
-    between = links.select("a", "b").join(own("a"), "a").join(own("b"), "b").select("key_a", "key_b")
-    within = own("a").join(own("b").withColumnRenamed("b", "a"), "a").filter("key_a < key_b").select("key_a", "key_b")
+
+    def expanded(pairs: DataFrame, name: str) -> DataFrame:
+        dealt, pairs, on = split_hot(own(name), pairs, [name])
+        return dealt.join(pairs, on).drop("_part")
+
+    between = expanded(expanded(links.select("a", "b"), "a"), "b")
+    within = expanded(own("b").withColumnRenamed("b", "a"), "a").filter("key_a < key_b").select("key_a", "key_b")
     ordered = between.filter("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
     return ordered.unionByName(within).distinct()
 
@@ -194,7 +233,7 @@ def copy_groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """(key, class_id, group_id, n_links): one row for each key and class.
 
     group_id is the least class joined to it by links; n_links counts the
-    linked classes.
+    linked classes. A key without a class has null ids and no links.
     """
     links = cut_lineage(links)
     ends = links.select(F.col("a").alias("class_id")).unionAll(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -45,12 +46,23 @@ def test_every_pair_is_found(spark):
         assert {tuple(r) for r in N.similar_pairs(members, links).collect()} == _want(rows, least)
 
 
-def test_crowded_entries_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(N, "CROWD", 2)
-    rows = _corpus(5)
-    df = spark.createDataFrame(rows, "paper_id string, clean_text string")
-    members, links = N.near_copies(df, "paper_id", "clean_text", 0.5)
-    assert {tuple(r) for r in N.similar_pairs(members, links).collect()} == _want(rows, 0.5)
+def test_crowded_entries_and_classes_lose_nothing(spark, monkeypatch):
+    split = N.split_hot
+    for rows_each in (1, 3, 10_000):
+        monkeypatch.setattr(N, "PARTNERS", rows_each)
+        monkeypatch.setattr(N, "split_hot", lambda left, right, on, most=10_000, part="_part", n=rows_each: split(left, right, on, min(n, most), part))
+        rows = _corpus(5)
+        df = spark.createDataFrame(rows, "paper_id string, clean_text string")
+        members, links = N.near_copies(df, "paper_id", "clean_text", 0.5)
+        assert {tuple(r) for r in N.similar_pairs(members, links).collect()} == _want(rows, 0.5)
+
+
+def test_sketch_bound():
+    for threshold in (0.5, 0.8):
+        p = threshold + (1 - threshold) / 2**N.SKETCH_BITS
+        k = N.least_agreement(threshold)
+        below = sum(math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(k))
+        assert below <= N.SKETCH_LOSS
 
 
 def test_groups_are_components(spark):
@@ -76,6 +88,6 @@ def test_groups_and_empty_table(spark):
     members, links = N.near_copies(df, "paper_id", "clean_text", 0.5)
     out = {r["key"]: r for r in N.copy_groups(members, links).collect()}
     assert out["copy1"]["group_id"] == out["copy2"]["group_id"] == out["p0_0"]["group_id"]
-    assert "none" not in out and "short" not in out
+    assert all(out[k]["class_id"] is None and out[k]["group_id"] is None and out[k]["n_links"] == 0 for k in ("none", "short", "empty"))
     members, links = N.near_copies(df.limit(0), "paper_id", "clean_text")
     assert members.count() == 0 and links.count() == 0 and N.copy_groups(members, links).count() == 0
