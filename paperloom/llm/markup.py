@@ -6,7 +6,10 @@ code, tables and formulas. Two passes of block rules then part content from
 leftover navigation: only link density makes a block bad; the second pass
 lets each undecided block inherit the label of the nearest decided
 neighbours, so that what is short or has few common words goes only among
-link-dense blocks, and a text without links keeps every block.
+link-dense blocks, and a text without links keeps every block. Each construct
+leaves a mark of its language where it is converted; a block carries the
+marks that came to lie in it, and the languages of a text are those of its
+blocks.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ _ELEMENTS = (
 
 _TAG = rf"</?(?:{'|'.join(_ELEMENTS)})(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'|[^\s\"'<>=]+))?)*\s*/?>"
 _REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});"
-HTML = re.compile(rf"(?i:{_TAG})|{_REFERENCE}|<!--.*?-->", re.S)
+HTML = re.compile(rf"(?i:{_TAG})|{_REFERENCE}|<!--(?:(?!<!--).)*?-->", re.S)
 MARKDOWN = re.compile(
     r"^[ \t]*(?:```|~~~)[\w+-]*[ \t]*$"  # fences
     r"|^#{1,6}[ \t]+\S"  # headings
@@ -47,13 +50,15 @@ MARKDOWN = re.compile(
 )
 WIKI = re.compile(
     r"\[\[[^\[\]\n]+(?:\n[^\[\]\n]+)?\]\]"
-    r"|\{\{(?=[A-Za-z#])[^{}]{1,2000}\}\}"
-    r"|(?<![\w'`])'{2,5}(?=[^\s'])[^'\n]{1,300}(?<=[^\s'])'{2,5}(?![\w'])"
+    r"|\{\{(?=[A-Za-z#])[^{}]+\}\}"
+    r"|(?<![\w'`])'{2,5}(?=[^\s'])[^'\n]+(?<=[^\s'])'{2,5}(?![\w'])"
     r"|^(={2,6})[ \t]*[^=\s][^\n]*?[ \t]*\1[ \t]*$"
     r"|^[ \t]*\{\|[^\n]*$|^[ \t]*\|-[ \t]*(?:\w[^\n|]*)?$|^[ \t]*\|\}[ \t]*$",
     re.M,
 )
-_FORMULA = r"\$\$[^$]{1,2000}\$\$|(?<![\\$\w])\$(?=[^\s$])[^$]{0,299}?(?<=[^\s\\])\$(?![\d$])"
+#: A formula of any length ends at a blank line at the latest, as TeX has it.
+_INNER = r"(?:[^$\n]|\n(?![ \t]*\n))"
+_FORMULA = rf"\$\${_INNER}+\$\$|(?<![\\$\w])\$(?=[^\s$]){_INNER}*?(?<=[^\s\\])\$(?![\d$])"
 LATEX = re.compile(
     rf"{_FORMULA}|\\(?:begin|end)\{{[A-Za-z*]+\}}|\\\[|\\\]|\\\(|\\\)"
     r"|\\[\"'`^~=.](?:\{\\?[A-Za-z]\}|[A-Za-z])|\\[A-Za-z]+\*?"
@@ -70,15 +75,23 @@ def languages(text: str) -> list[str]:
 
 # ---- conversion ------------------------------------------------------------
 
+MARK = {"html": "\ue010", "markdown": "\ue011", "wiki": "\ue012", "latex": "\ue013"}
+_MARKS = re.compile("[\ue010-\ue013]")
+_OF_MARK = {c: name for name, c in MARK.items()}
 _HIDE = "\ue000{}\ue001"
 _HIDDEN = re.compile("\ue000(\\d+)\ue001")
 
 
 class _Kept:
-    """Code and formulas, set aside while the rest is converted."""
+    """Code and formulas, set aside while the rest is converted, and the mark of the language that is converted."""
 
     def __init__(self):
         self.held: list[str] = []
+        self.language = ""
+
+    def mark(self, m: re.Match) -> str:
+        """The language's mark, if what was matched is a construct that counts for it."""
+        return MARK[self.language] if FIND[self.language].search(m[0]) else ""
 
     def hold(self, text: str) -> str:
         self.held.append(text)
@@ -92,16 +105,17 @@ class _Kept:
             text = done
 
 
-def _code(body: str) -> str:
-    return "\n```\n" + body.strip("\n") + "\n```\n"
+def _code(body: str, mark: str) -> str:
+    return f"\n```{mark}\n" + body.strip("\n") + "\n```\n"
 
 
-_PRE = re.compile(r"<pre[^>]*>(?:\s*<code[^>]*>)?(.*?)(?:</code>\s*)?</pre>", re.S | re.I)
-_ROW = re.compile(r"<tr[^>]*>(.*?)</tr>", re.S | re.I)
-_CELL = re.compile(r"<t[dh][^>]*>(.*?)</t[dh]>", re.S | re.I)
-_DROP = re.compile(r"<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->", re.S | re.I)
-_HEAD = re.compile(r"<h([1-6])[^>]*>(.*?)</h\1>", re.S | re.I)
-_ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>", re.S | re.I)
+# an element left open reaches to the next of its kind at most, so no pattern runs through the text from every tag
+_PRE = re.compile(r"<pre\b[^>]*>(?:\s*<code[^>]*>)?((?:(?!<pre\b).)*?)(?:</code>\s*)?</pre>", re.S | re.I)
+_ROW = re.compile(r"<tr\b[^>]*>((?:(?!<tr\b).)*?)</tr>", re.S | re.I)
+_CELL = re.compile(r"<t[dh]\b[^>]*>((?:(?!<t[dh]\b).)*?)</t[dh]>", re.S | re.I)
+_DROP = re.compile(r"<(script|style)\b[^>]*>(?:(?!<\1\b).)*?</\1>|<!--(?:(?!<!--).)*?-->", re.S | re.I)
+_HEAD = re.compile(r"<h([1-6])\b[^>]*>((?:(?!<h[1-6]\b).)*?)</h\1>", re.S | re.I)
+_ANCHOR = re.compile(r"<a\b[^>]*>((?:(?!<a\b).)*?)</a>", re.S | re.I)
 _ITEM = re.compile(r"<li[^>]*>\s*", re.I)
 _BREAK = re.compile(r"<(?:br|hr)\s*/?>|</?(?:p|div|ul|ol|table|tbody|thead|section|article|blockquote|dl|dd|dt)\b[^>]*>", re.I)
 _SUBSUP = re.compile(r"<(sub|sup)>(.*?)</\1>", re.S | re.I)
@@ -110,16 +124,17 @@ LINK, END = "\ue002", "\ue003"  # mark anchors until link density is taken
 
 
 def from_html(text: str, kept: _Kept) -> str:
-    text = _PRE.sub(lambda m: kept.hold(_code(html.unescape(_ANY_TAG.sub("", m[1])))), text)
-    text = _DROP.sub("", text)
-    text = _HEAD.sub(lambda m: "\n\n" + "#" * int(m[1]) + " " + " ".join(m[2].split()) + "\n\n", text)
-    text = _ROW.sub(lambda m: "\n" + " | ".join(" ".join(c.split()) for c in _CELL.findall(m[1])) + "\n", text)
-    text = _ITEM.sub("\n- ", text)
-    text = _ANCHOR.sub(lambda m: LINK + m[1] + END, text)
-    text = _SUBSUP.sub(lambda m: ("_" if m[1].lower() == "sub" else "^") + m[2], text)
-    text = _BREAK.sub("\n", text)
-    text = _ANY_TAG.sub("", text)
-    return re.sub(_REFERENCE, lambda m: html.unescape(m[0]).replace("\xa0", " "), text)
+    mark = kept.mark
+    text = _PRE.sub(lambda m: kept.hold(_code(html.unescape(_ANY_TAG.sub("", m[1])), mark(m))), text)
+    text = _DROP.sub(mark, text)
+    text = _HEAD.sub(lambda m: "\n\n" + "#" * int(m[1]) + " " + " ".join(m[2].split()) + mark(m) + "\n\n", text)
+    text = _ROW.sub(lambda m: "\n" + mark(m) + " | ".join(" ".join(c.split()) for c in _CELL.findall(m[1])) + "\n", text)
+    text = _ITEM.sub(lambda m: "\n- " + mark(m), text)
+    text = _ANCHOR.sub(lambda m: LINK + m[1] + END + mark(m), text)
+    text = _SUBSUP.sub(lambda m: ("_" if m[1].lower() == "sub" else "^") + m[2] + mark(m), text)
+    text = _BREAK.sub(lambda m: "\n" + mark(m), text)
+    text = _ANY_TAG.sub(mark, text)
+    return re.sub(_REFERENCE, lambda m: html.unescape(m[0]).replace("\xa0", " ") + mark(m), text)
 
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[\w+-]*[ \t]*\n(.*?)^[ \t]*\1[ \t]*$", re.M | re.S)
@@ -132,35 +147,41 @@ _STAR = re.compile(r"^([ \t]*)[*+][ \t]+(?=\S)", re.M)
 
 
 def from_markdown(text: str, kept: _Kept) -> str:
-    text = _FENCE.sub(lambda m: kept.hold(_code(m[2])), text)
-    text = _TICK.sub(lambda m: kept.hold(m[1]), text)
-    text = _IMAGE.sub(lambda m: m[1], text)
-    text = _LINKS.sub(lambda m: LINK + m[1] + END, text)
+    mark = kept.mark
+    text = _FENCE.sub(lambda m: kept.hold(_code(m[2], mark(m))), text)
+    text = _TICK.sub(lambda m: kept.hold(m[1] + mark(m)), text)
+    text = _IMAGE.sub(lambda m: m[1] + mark(m), text)
+    text = _LINKS.sub(lambda m: LINK + m[1] + END + mark(m), text)
     text = _STAR.sub(r"\1- ", text)
     for _ in range(2):
-        text = _EMPHASIS.sub(r"\2", text)
-    text = _RULE.sub("", text)
-    return re.sub(r"^[ \t]*\|(.*)\|[ \t]*$", lambda m: " | ".join(c.strip() for c in m[1].split("|")), text, flags=re.M)
+        text = _EMPHASIS.sub(lambda m: m[2] + mark(m), text)
+    text = re.sub(r"^[ \t]*\|(.*)\|[ \t]*$", lambda m: " | ".join(c.strip() for c in m[1].split("|")), text, flags=re.M)
+    return _RULE.sub(mark, text)
 
 
-_WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n(.*?)^[ \t]*\|\}[ \t]*$", re.M | re.S)
+_WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n((?:(?!^[ \t]*\{\|).)*?)^[ \t]*\|\}[ \t]*$", re.M | re.S)
 _FILE = re.compile(r"\[\[(?:File|Image|Category)\s*:[^\[\]]*\]\]", re.I)
 _WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}", re.S)
-_QUOTES = re.compile(r"(?<![\w'`])('{2,5})(?=[^\s'])([^'\n]{1,300})(?<=[^\s'])\1(?![\w'])")
+_QUOTES = re.compile(r"(?<![\w'`])('{2,5})(?=[^\s'])([^'\n]+)(?<=[^\s'])\1(?![\w'])")
 _WIKI_HEAD = re.compile(r"^(={2,6})[ \t]*([^=\s][^\n]*?)[ \t]*\1[ \t]*$", re.M)
 
 
 def from_wiki(text: str, kept: _Kept) -> str:
+    mark = kept.mark
+
     def rows(m):
         out = []
         for row in re.split(r"^[ \t]*\|-[^\n]*$", m[1], flags=re.M):
             cells = [c.strip() for c in re.split(r"\|\||!!|^[ \t]*[|!]", row, flags=re.M) if c.strip()]
             if cells:
                 out.append(" | ".join(cells))
-        return "\n" + "\n".join(out) + "\n"
+        return "\n" + mark(m) + "\n".join(out) + "\n"
 
     def template(m):
+        return filled(m) + mark(m)
+
+    def filled(m):
         parts = [p.strip() for p in m[1].split("|")]
         named = [p for p in parts[1:] if "=" in p]
         if named:
@@ -170,16 +191,18 @@ def from_wiki(text: str, kept: _Kept) -> str:
     text = _WIKI_TABLE.sub(rows, text)
     for _ in range(3):
         text = _TEMPLATE.sub(template, text)
-    text = _FILE.sub(lambda m: m[0].strip("[]").rsplit("|", 1)[1] if m[0].count("|") else "", text)
-    text = _WIKI_LINK.sub(lambda m: LINK + m[1] + END, text)
-    text = _WIKI_HEAD.sub(lambda m: "\n" + "#" * len(m[1]) + " " + m[2] + "\n", text)
-    text = _QUOTES.sub(r"\2", text)
+    text = _FILE.sub(lambda m: (m[0].strip("[]").rsplit("|", 1)[1] if m[0].count("|") else "") + mark(m), text)
+    text = _WIKI_LINK.sub(lambda m: LINK + m[1] + END + mark(m), text)
+    text = _WIKI_HEAD.sub(lambda m: "\n" + "#" * len(m[1]) + " " + m[2] + mark(m) + "\n", text)
+    text = _QUOTES.sub(lambda m: m[2] + mark(m), text)
     return _STAR.sub(r"\1- ", text)
 
 
-_DISPLAY = re.compile(r"\\\[(.*?)\\\]|\\begin\{(equation|align|displaymath|eqnarray|gather)\*?\}(.*?)\\end\{\2\*?\}|\$\$(.*?)\$\$", re.S)
-_INLINE = re.compile(rf"{_FORMULA}|\\\((.*?)\\\)", re.S)
-_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]]*\])?(.*?)\\end\{\1\}", re.S)
+_DISPLAY = re.compile(
+    r"\\\[((?:(?!\\\[).)*?)\\\]|\\begin\{(equation|align|displaymath|eqnarray|gather)\*?\}((?:(?!\\begin\{\2).)*?)\\end\{\2\*?\}|\$\$(.*?)\$\$", re.S
+)
+_INLINE = re.compile(rf"{_FORMULA}|\\\(((?:(?!\\\().)*?)\\\)", re.S)
+_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]]*\])?((?:(?!\\begin\{\1\}).)*?)\\end\{\1\}", re.S)
 _SECTION = re.compile(r"\\((?:sub){0,2})(?:section|chapter|paragraph)\*?\{([^{}]*)\}(?:\s*\\label\{[^{}]*\})?")
 _CITE = re.compile(r"~?\\(?:cite[a-z]*|ref|eqref|autoref)\*?(?:\[[^\]]*\])*\{([^{}]*)\}")
 _LABEL = re.compile(r"\\(?:label|index|vspace|hspace|bibliography\w*|input|include)\*?\{[^{}]*\}")
@@ -191,20 +214,21 @@ _WITH_ARGUMENT = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}")
 def from_latex(text: str, kept: _Kept) -> str:
     import unicodedata
 
-    text = _VERBATIM.sub(lambda m: kept.hold(_code(m[2])), text)
-    text = _DISPLAY.sub(lambda m: kept.hold("\n$$ " + " ".join((m[1] or m[3] or m[4] or "").split()) + " $$\n"), text)
-    text = _INLINE.sub(lambda m: kept.hold("$" + (m[1] if m[0].startswith("\\(") else m[0].strip("$")).strip() + "$"), text)
-    text = _SECTION.sub(lambda m: "\n" + "#" * (1 + m[1].count("sub")) + " " + m[2] + "\n", text)
-    text = _CITE.sub(lambda m: f" [{m[1]}]", text)
-    text = _LABEL.sub("", text)
-    text = _ACCENT.sub(lambda m: unicodedata.normalize("NFC", (m[2] or m[3]) + _COMBINING[m[1]]), text)
-    text = re.sub(r"^[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*", lambda m: "- " + (m[1] + ": " if m[1] else ""), text, flags=re.M)
-    text = re.sub(r"\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]]*\])?", "\n", text)
+    mark = kept.mark
+    text = _VERBATIM.sub(lambda m: kept.hold(_code(m[2], mark(m))), text)
+    text = _DISPLAY.sub(lambda m: kept.hold("\n$$ " + " ".join((m[1] or m[3] or m[4] or "").split()) + f" $${mark(m)}\n"), text)
+    text = _INLINE.sub(lambda m: kept.hold("$" + (m[1] if m[0].startswith("\\(") else m[0].strip("$")).strip() + "$" + mark(m)), text)
+    text = _SECTION.sub(lambda m: "\n" + "#" * (1 + m[1].count("sub")) + " " + m[2] + mark(m) + "\n", text)
+    text = _CITE.sub(lambda m: f" [{m[1]}]" + mark(m), text)
+    text = _LABEL.sub(mark, text)
+    text = _ACCENT.sub(lambda m: unicodedata.normalize("NFC", (m[2] or m[3]) + _COMBINING[m[1]]) + mark(m), text)
+    text = re.sub(r"^[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*", lambda m: "- " + (m[1] + ": " if m[1] else "") + mark(m), text, flags=re.M)
+    text = re.sub(r"\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]]*\])?", lambda m: "\n" + mark(m), text)
     for _ in range(3):
-        text = _WITH_ARGUMENT.sub(r"\1", text)
+        text = _WITH_ARGUMENT.sub(lambda m: m[1] + mark(m), text)
     text = re.sub(r"\\\\(?:\[[^\]]*\])?", "\n", text)
     text = re.sub(r"\\([%&#_{}$])", r"\1", text)
-    return re.sub(r"\\[A-Za-z]+\*?[ \t]?", "", text)
+    return re.sub(r"\\[A-Za-z]+\*?[ \t]?", mark, text)
 
 
 _FROM = {"html": from_html, "markdown": from_markdown, "wiki": from_wiki, "latex": from_latex}
@@ -254,11 +278,19 @@ def _link_density(block: str) -> float:
     return linked / max(1, len(block.replace(LINK, "").replace(END, "").strip()))
 
 
-def blocks_of(text: str) -> list[tuple[str, str]]:
-    """(kind, text) of each block: heading, list, code, formula, table or text."""
-    out: list[tuple[str, list[str]]] = []
+def blocks_of(text: str) -> list[tuple[str, str, set[str]]]:
+    """(kind, text, languages) of each block: heading, list, code, formula, table or text.
+
+    Marks that stand on a line of their own go to the next block, after the
+    last block to that one; a text of nothing but markup is one empty block.
+    """
+    out: list[tuple[str, list[str], set[str]]] = []
     in_code = open_block = False
+    waiting: set[str] = set()
     for line in text.split("\n"):
+        if marks := _MARKS.findall(line):
+            line = _MARKS.sub("", line)
+            waiting.update(_OF_MARK[c] for c in marks)
         if in_code:
             out[-1][1].append(line)
             in_code = not line.startswith("```")
@@ -272,10 +304,16 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
         if open_block and kind == out[-1][0] and kind in ("text", "table"):
             out[-1][1].append(line)
         else:
-            out.append((kind, [line]))
+            out.append((kind, [line], set()))
+        out[-1][2].update(waiting)
+        waiting = set()
         open_block = kind in ("text", "table")
-    blocks = [(k, lines, "\n".join(lines)) for k, lines in out]
-    return [(_kind(lines) if k == "text" and _link_density(block) <= LINK_DENSITY else k, block) for k, lines, block in blocks]
+    if waiting:
+        if not out:
+            out.append(("text", [""], set()))
+        out[-1][2].update(waiting)
+    blocks = [(k, lines, "\n".join(lines), found) for k, lines, found in out]
+    return [(_kind(lines) if k == "text" and _link_density(block) <= LINK_DENSITY else k, block, found) for k, lines, block, found in blocks]
 
 
 def first_pass(kind: str, block: str, common: frozenset[str]) -> str:
@@ -320,33 +358,40 @@ def second_pass(labels: list[str]) -> list[str]:
     return out
 
 
+_OWN = re.compile("[\ue000-\ue003\ue010-\ue013]")
+
+
 def convert(text: str, common: frozenset[str]) -> tuple[list[str], str, list[dict]]:
-    """Languages found, clean text and labelled blocks of one text."""
-    found = languages(text)
+    """Languages of the blocks, clean text and labelled blocks of one text."""
     kept = _Kept()
-    out = text.replace("\ue000", "").replace("\ue001", "").replace(LINK, "").replace(END, "") if found else text
-    for name in ("markdown", "latex", "wiki", "html") if found else ():
-        if name in found:
-            out = _FROM[name](out, kept)
-    out = kept.restore(out)
-    parts = blocks_of(out)
-    labels = second_pass([first_pass(k, b, common) for k, b in parts])
-    bare = [(k, b.replace(LINK, "").replace(END, ""), x) for (k, b), x in zip(parts, labels)]
-    clean = "\n\n".join(b.strip("\n") if k == "code" else b.rstrip().lstrip("\n") if k == "table" else b.strip() for k, b, x in bare if x == "good" or k != "text")
-    return found, clean, [{"kind": k, "label": x, "text": b} for k, b, x in bare]
+    possible = languages(text)
+    out = _OWN.sub("", text)
+    for name in ("markdown", "latex", "wiki", "html"):
+        if name in possible:
+            kept.language = name
+            # what is left over of a construct that has no counterpart is marked too, before its last character:
+            # a heading's first character may open a construct of another language
+            out = FIND[name].sub(lambda m, c=MARK[name]: m[0][:-1] + c + m[0][-1:], _FROM[name](out, kept))
+    parts = blocks_of(kept.restore(out))
+    labels = second_pass([first_pass(k, b, common) for k, b, _ in parts])
+    bare = [(k, b.replace(LINK, "").replace(END, ""), x, [n for n in LANGUAGES if n in found]) for (k, b, found), x in zip(parts, labels)]
+    clean = "\n\n".join(b.strip("\n") if k == "code" else b.rstrip().lstrip("\n") if k == "table" else b.strip() for k, b, x, _ in bare if x == "good" or k != "text")
+    whole = [n for n in LANGUAGES if any(n in found for *_, found in bare)]
+    return whole, clean, [{"kind": k, "label": x, "text": b, "markup": found} for k, b, x, found in bare]
 
 
 def strip_markup(df: DataFrame, src: str, key: str, text: str, common_words: Iterable[str]) -> DataFrame:
     """(src, item_key, markup, clean_text, blocks) of each row of df.
 
-    markup is the sorted list of languages found; clean_text holds the blocks
+    markup is the list of languages of all blocks; clean_text holds the blocks
     labelled as content and every heading, list item, code block, table and
-    formula; blocks holds all, with kind and label, so nothing is lost. A null
+    formula; blocks holds all, with kind, label and languages, so nothing is
+    lost. A null
     text has null clean_text and no markup, an empty one an empty clean_text.
     Rows repeated stay; other columns are dropped.
     """
     common = frozenset(w.lower() for w in common_words if w)
-    block = pa.struct([("kind", pa.string()), ("label", pa.string()), ("text", pa.string())])
+    block = pa.struct([("kind", pa.string()), ("label", pa.string()), ("text", pa.string()), ("markup", pa.list_(pa.string()))])
 
     def run(batches):
         for batch in batches:
@@ -360,5 +405,5 @@ def strip_markup(df: DataFrame, src: str, key: str, text: str, common_words: Ite
                 )
 
     chosen = df.select(F.expr(key).cast("string").alias("item_key"), F.col(text).alias("text"))
-    schema = "item_key string, markup array<string>, clean_text string, blocks array<struct<kind string, label string, text string>>"
+    schema = "item_key string, markup array<string>, clean_text string, blocks array<struct<kind string, label string, text string, markup array<string>>>"
     return chosen.mapInArrow(run, schema).select(F.lit(src).alias("src"), "*")

@@ -1,3 +1,5 @@
+import time
+
 from paperloom.llm.markup import convert, first_pass, languages, second_pass, strip_markup
 
 COMMON = frozenset(["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "was", "on"])
@@ -79,3 +81,28 @@ def test_rows(spark):
     by = {r["item_key"]: r for r in out}
     assert by["a"]["markup"] == ["html", "markdown"] and by["n"]["clean_text"] is None and by["e"]["clean_text"] == "" and by[None]["markup"] == ["wiki"]
     assert strip_markup(df.limit(0), "clean_text", "paper_id", "clean_text", COMMON).count() == 0
+
+
+def test_languages_come_from_the_blocks():
+    long = "x + " * 900 + "y"
+    texts = {
+        "Plain words $" + long + "$ in a sentence.": ["latex"],
+        "A box {{infobox|" + "a long value " * 300 + "}} in words.": ["wiki"],
+        "<p>One.</p>\n\n## Two\n\nThree \\emph{four} and '''five'''.": ["html", "markdown", "wiki", "latex"],
+        "It costs $5 here\n\nand there 10$ again.": [],
+        "<br>": ["html"],
+        "| a | b |\n|---|---|\n| 1 | 2 |": ["markdown"],
+    }
+    for text, want in texts.items():
+        found, clean, blocks = convert(text, frozenset(["the", "in"]))
+        assert found == want, text[:60]
+        assert sorted(found) == sorted({n for b in blocks for n in b["markup"]})
+        assert not any("" <= c <= "" for c in clean)
+    _, _, blocks = convert("First part.\n\n<b>Second</b> part.", frozenset())
+    assert [b["markup"] for b in blocks] == [[], ["html"]]
+
+
+def test_elements_left_open_stay_linear():
+    began = time.time()
+    convert("<tr><td>cell <h2>head <a href='x'>link \\[ x <pre>code " * 4000, frozenset())
+    assert time.time() - began < 20
