@@ -36,6 +36,8 @@ MODEL_PAIRS, MODEL_WORDS = 1_000_000, 500_000
 BAND = 4.0
 #: Texts with fewer words are not judged by perplexity.
 LEAST_WORDS = 20
+#: Tables of bands of up to so many languages are broadcast, about 1 MB; others are left to the join's own size check.
+LANGUAGES = 20_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 STEP_WORDS = 500_000
 
@@ -266,11 +268,12 @@ def repetition(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     measured = cut_lineage(measure(df, key, text, lang, fit_model(df, text)))
     judged = measured.filter(F.col("n_words") >= LEAST_WORDS)
-    middle = judged.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"))
-    spread = judged.join(middle, "lang").groupBy("lang", "middle").agg((F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000) * 1.4826 * BAND + 1e-9).alias("reach"))
+    middle = cut_lineage(judged.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle")))
+    small = F.broadcast if middle.count() <= LANGUAGES else lambda df: df
+    spread = judged.join(small(middle), "lang").groupBy("lang", "middle").agg((F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000) * 1.4826 * BAND + 1e-9).alias("reach"))
     p = F.exp("log_perplexity")
     lower, upper = F.exp(F.col("middle") - F.col("reach")), F.exp(F.col("middle") + F.col("reach"))
     band = F.when(F.col("n_words") >= LEAST_WORDS, F.when(p < lower, "low").when(p > upper, "high").otherwise("inside"))
-    return measured.join(spread, "lang", "left").select(
+    return measured.join(small(spread), "lang", "left").select(
         key, "lang", "n_words", "repeated_share", p.alias("perplexity"), lower.alias("lower"), upper.alias("upper"), (F.col("repeated_share") >= share).alias("repeated"), band.alias("band")
     )
