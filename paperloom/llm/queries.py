@@ -13,9 +13,9 @@ from paperloom.llm.packing import pack_documents
 from paperloom.llm.quality import quality_findings, text_statistics
 from paperloom.llm.repetition import repetition
 from paperloom.llm.scan_repair import page_texts, repair_pages
-from paperloom.llm.shared_spans import shared_spans
+from paperloom.llm.shared_spans import compact, shared_spans, span_runs
 from paperloom.llm.splitting import split_texts
-from paperloom.session import table
+from paperloom.session import cut_lineage, table
 
 
 CHUNK_KEY = "concat(paper_id, '_', chunk_id)"
@@ -47,6 +47,20 @@ def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(bodies.unionByName(chunks))
 
 
+def p3_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks in two batches, each held against the history of the other; the rows are those of one batch.
+
+    A chunk's key decides its batch, so its rows stay together.
+    """
+    chunks = table(spark, sf_dir, "chunks_sample").select(F.lit("chunk").alias("src"), F.expr(CHUNK_KEY).alias("item_key"), F.col("chunk_text").alias("text"))
+    batch = F.pmod(F.xxhash64("item_key"), F.lit(2))
+    out = []
+    for own in (0, 1):
+        history = cut_lineage(compact(span_runs(chunks.filter(batch != own), 0)))
+        out.append(shared_spans(chunks.filter(batch == own), history=history))
+    return out[0].unionByName(out[1])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_spans(spark, sf_dir).filter("n_spans > 0").select("src", "item_key")
 
@@ -111,18 +125,29 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p2_repaired, p2_found, p3_spans, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_found, p7_ids, p8_containers, p8_found, p9_repetition, p9_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_repaired, p2_found, p3_spans, p3_incremental, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_found, p7_ids, p8_containers, p8_found, p9_repetition, p9_found)}
 
 
 _WHITE = SPACE
 
 
-def _texts_sql(other: str) -> str:
-    """Texts of a column of the papers and of the chunks, each once, without white space at both ends."""
+def _texts_sql(other: str, nulls: bool = False) -> str:
+    """Texts of a column of the papers and of the chunks, each once, without white space at both ends, with or without nulls."""
     return f"""
       SELECT DISTINCT src, item_key, regexp_replace(t, '^[{_WHITE}]+|[{_WHITE}]+\\z', '', 'g') AS t FROM (
         SELECT '{other}' AS src, paper_id AS item_key, {other} AS t FROM arxiv_silver_plus
-        UNION ALL SELECT 'chunk', paper_id || '_' || chunk_id, chunk_text FROM chunks_sample) WHERE t IS NOT NULL"""
+        UNION ALL SELECT 'chunk', paper_id || '_' || chunk_id, chunk_text FROM chunks_sample){'' if nulls else ' WHERE t IS NOT NULL'}"""
+
+
+def _spans_sql(texts: str) -> str:
+    """Shared spans of texts(src, item_key, t) by every window of 300."""
+    return f"""WITH x AS (SELECT row_number() OVER () AS r, * FROM ({texts})),
+      w AS (SELECT r, src, item_key, i, md5(substr(t, i, 300)) AS h FROM (SELECT r, src, item_key, t, unnest(range(1, length(t) - 298)) AS i FROM x WHERE length(t) >= 300)),
+      s AS (SELECT src, h FROM w GROUP BY src, h HAVING count(DISTINCT item_key) > 1),
+      g AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM w JOIN s ON w.src = s.src AND w.h = s.h),
+      c AS (SELECT r, sum(coalesce(least(step, 300), 300))::BIGINT AS shared_chars, count_if(step IS NULL OR step > 300)::BIGINT AS n_spans FROM g GROUP BY r),
+      f AS (SELECT src, item_key, max({{'a': coalesce(shared_chars, 0), 'b': coalesce(length(t), 0), 'c': coalesce(n_spans, 0)}}) AS best FROM x LEFT JOIN c ON x.r = c.r GROUP BY src, item_key)
+      SELECT src, item_key, best.b AS n_chars, best.a AS shared_chars, best.c AS n_spans, CASE WHEN best.b > 0 THEN best.a / best.b ELSE 0.0 END AS shared_share FROM f"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -134,6 +159,8 @@ def oracle_sql() -> dict[str, str]:
           w AS (SELECT DISTINCT src, item_key, md5(substr(t, i, 300)) AS h FROM (SELECT src, item_key, t, unnest(range(1, length(t) - 298)) AS i FROM x WHERE length(t) >= 300)),
           s AS (SELECT src, h FROM w GROUP BY src, h HAVING count(*) > 1)
           SELECT DISTINCT w.src, item_key FROM w JOIN s ON w.src = s.src AND w.h = s.h""",
+        "p3_spans": _spans_sql(_texts_sql("body", True)),
+        "p3_incremental": _spans_sql(f"SELECT * FROM ({_texts_sql('body', True)}) WHERE src = 'chunk'"),
         "p6_found": f"""WITH t AS (SELECT DISTINCT paper_id, regexp_extract_all(lower(clean_text), '[{WORD}]{{2,}}') AS w FROM arxiv_silver_plus WHERE clean_text IS NOT NULL),
           s AS (SELECT DISTINCT paper_id, md5(array_to_string(w[i:i+4], ' ')) AS h FROM (SELECT paper_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)),
           n AS (SELECT paper_id, count(*) AS n FROM s GROUP BY paper_id),
