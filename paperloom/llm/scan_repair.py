@@ -1,12 +1,16 @@
 """Problem 2: continuous paragraphs out of the text of scanned pages.
 
-Three parts. Page furniture is found by position: lines that come again a page
-apart are running headers, numbers that go up by one a page apart are page
-numbers. An averaged perceptron edits characters: at each one it keeps,
-replaces or deletes it, inserts another, or joins a broken line. It is trained
-on the corpus's own words, damaged through a table of confusions that scanners
-make, so no labelled pages are needed. What it proposes for a word is taken
-only if the corpus's vocabulary has it far more often than the damaged form.
+Three parts. Page furniture is found by position: where form feeds part the
+pages, by the place of a line on its page, else by the distance from line to
+line; lines that come again are running headers, numbers that go up by one a
+page apart are page numbers. An averaged perceptron edits characters: at each
+one it keeps, replaces or deletes it, inserts one before it, or joins a broken
+line. It is trained on the corpus's own words, damaged through confusions that
+scanners make and by characters lost, doubled and changed at random, so no
+labelled pages are needed. To the confusions that are known come those that
+the corpus shows itself: rare forms of many frequent words that differ by the
+same characters. What the editor proposes for a word is taken only if the
+corpus's vocabulary has it far more often than the damaged form.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import cut_lineage
+
 # What scanners read in the place of what was printed.
 CONFUSIONS = [
     ("o", "0"), ("l", "1"), ("s", "5"), ("b", "6"), ("t", "†"), ("c", "¢"), ("a", "ä"), ("i", "|"),
@@ -28,10 +34,17 @@ CONFUSIONS = [
 LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")]
 SOFT_HYPHENS = "‐\xad¬"
 
-#: Words of the vocabulary that are kept, the most frequent; bounds what is sent to the tasks.
-VOCABULARY = 200_000
-#: A word counts as known from so many files on, and replaces a form it is so many times more frequent than.
-LEAST_FILES, TIMES = 3, 5
+#: A word counts as known from so many files on, or from one in so many of all files, whichever is more, and
+#: replaces a form it is so many times more frequent than. The share bounds the vocabulary at any size: there are
+#: at most KNOWN_SHARE times as many known words as a file has different ones, and by their usual distribution
+#: far fewer.
+LEAST_FILES, KNOWN_SHARE, TIMES = 3, 10_000, 5
+#: Files of a word that an edit may lead to which no confusion explains, and the length of words that may have one.
+OTHER_FILES, OTHER_LENGTH = 20, 5
+#: Share of words damaged so that the perceptron's margin may leave alone.
+MISSED = 0.05
+#: A confusion is learned from so many frequent words on, and if this share of those that could show it do.
+CONFUSED_WORDS, CONFUSED_SHARE = 10, 0.02
 #: The editor is trained on at most so many words, the most frequent, and so many rounds.
 TRAIN_WORDS, ROUNDS = 2500, 4
 BEAM = 6
@@ -39,6 +52,8 @@ BEAM = 6
 LEAST_MISREAD = 2
 #: Lines from one page's furniture to the next, at least.
 PAGE_LINES = 4
+#: Lines with words at the top and bottom of a page that furniture is looked for in, and the share of a repeated line's places that must be there.
+EDGE_LINES, AT_EDGE = 2, 0.8
 
 _TOKEN = re.compile(r"[\w†¢|]+(?:-[\w†¢|]+)*")
 _BROKEN = re.compile(rf"([\w†¢|]+)([-{SOFT_HYPHENS}])[ \t]*\Z")
@@ -50,17 +65,22 @@ _LOWER = re.compile(r"[a-z]+\Z")
 
 
 
-def _written_out() -> dict[int, str]:
-    """Each character as the longest string that confusions make of it; what scanners confuse comes out alike."""
-    out: dict[str, str] = {}
-    for true, read in CONFUSIONS:
-        if len(read) == 1 and true != "e":
-            out[read] = true
-    out |= {"e": "c", "d": "cl", "u": "ii", "h": "li", "n": "ri", "m": "rri"}
-    return str.maketrans(out)
+def alike(confusions: list[tuple[str, str]]) -> dict[int, str]:
+    """For each character what is left when confused ones are made alike: one reading of single ones, pairs written out."""
+    single = {read: true for true, read in confusions if len(read) == 1}
+    double = {true: read for true, read in confusions if len(read) > 1}
+
+    def expand(ch: str, on_the_way: str = "") -> str:
+        if ch in on_the_way:
+            return ch
+        if ch in single:
+            return expand(single[ch], on_the_way + ch)
+        return "".join(expand(c, on_the_way + ch) for c in double[ch]) if ch in double else ch
+
+    return str.maketrans({ch: expand(ch) for ch in single.keys() | double.keys()})
 
 
-_ALIKE = _written_out()
+_ALIKE = alike(CONFUSIONS)
 
 # ---- averaged perceptron ----------------------------------------------------
 
@@ -70,6 +90,7 @@ class Perceptron:
 
     def __init__(self):
         self.weights: dict[str, dict[str, float]] = {}
+        self.least = 0.0
         self._sums: dict[tuple[str, str], float] = defaultdict(float)
         self._since: dict[tuple[str, str], int] = defaultdict(int)
         self._now = 0
@@ -110,7 +131,7 @@ class Perceptron:
 
 
 def _char_features(word: str, i: int) -> list[str]:
-    p = f"^^^{word}$$$"
+    p = f"^^^{word}$$$$"
     j = i + 3
     a, b, c, d, e, f, g = p[j - 3 : j + 4]
     return [f"0{d}", f"1{c}{d}", f"2{d}{e}", f"3{c}{d}{e}", f"4{b}{c}{d}", f"5{d}{e}{f}", f"6{b}{c}{d}{e}", f"7{c}{d}{e}{f}", f"8{a}{b}{c}{d}", f"9{d}{e}{f}{g}", f"A{b}{c}{d}{e}{f}"]
@@ -122,30 +143,87 @@ def _join_features(a: str, b: str, hyphen: str, count) -> list[str]:
     return [f"H{hyphen}", f"V{known}", f"W{known}{hyphen}", f"P{bool(count(a) and count(b))}{known}", f"S{a[-2:]}-", f"T-{b[:2]}", f"L{min(len(b), 4)}{known}"]
 
 
-def damage_word(word: str, rng: random.Random, rate: float) -> list[tuple[str, str]]:
-    """(character as read, operation that undoes it) of a damaged word."""
+def damage_word(word: str, rng: random.Random, rate: float, confusions: list[tuple[str, str]] = CONFUSIONS, other: str | None = None) -> list[tuple[str, str]]:
+    """(character as read, operation that undoes it) of a damaged word.
+
+    Beside confusions at the given rate one character may be lost, doubled or
+    changed at random (other is "lose", "double" or "change"). The list ends
+    with an empty character, before which a lost last one is inserted.
+    """
     out: list[tuple[str, str]] = []
-    for ch in word:
-        options = [read for true, read in CONFUSIONS if true == ch]
+    at = rng.randrange(len(word)) if other else -1
+    lost = ""
+    for i, ch in enumerate(word):
+        if i == at and other == "lose":
+            lost = ch
+            continue
+        if i == at:
+            out += [(ch, "K"), (ch, "D")] if other == "double" else [(rng.choice("abcdefghijklmnopqrstuvwxyz".replace(ch, "")), "R" + ch)]
+            continue
+        if lost:
+            out.append((ch, "I" + lost))
+            lost = ""
+            continue
+        options = [read for true, read in confusions if true == ch]
         if options and rng.random() < rate:
             read = rng.choice(options)
             out.append((read[0], "R" + ch))
             out += [(x, "D") for x in read[1:]]
         else:
             out.append((ch, "K"))
-    return out
+    return [*out, ("", "I" + lost if lost else "K")]
+
+
+def _frequent(vocabulary: dict[str, int], confusions: list[tuple[str, str]]) -> list[str]:
+    """The most frequent plain words, TRAIN_WORDS at most, without those that a confusion explains."""
+    found = []
+    for w, _ in sorted(vocabulary.items(), key=lambda x: (-x[1], x[0])):
+        if len(w) > 2 and _LOWER.match(w) and not _explained(w, vocabulary, confusions):
+            found.append(w)
+            if len(found) == TRAIN_WORDS:
+                break
+    return found
+
 
+def learn_confusions(vocabulary: dict[str, int]) -> list[tuple[str, str]]:
+    """(printed, read) of one letter read as one or two characters, that the corpus shows beyond the known ones.
 
-def train_editor(vocabulary: dict[str, int]) -> Perceptron:
-    """The character editor, from the most frequent plain words of the vocabulary."""
+    A pair counts once for each frequent word that has a rare form with it;
+    real words that happen to differ so are few for any one pair.
+    """
+    words = [w for w in _frequent(vocabulary, CONFUSIONS) if vocabulary[w] >= OTHER_FILES and len(w) > 3]
+    known = set(words)
+    holes: dict[tuple[str, str], list[tuple[str, str]]] = defaultdict(list)
+    could: Counter[str] = Counter()
+    for w in words:
+        could.update(set(w))
+        for i in range(len(w)):
+            holes[w[:i], w[i + 1 :]].append((w, w[i]))
+    shown: dict[tuple[str, str], set[str]] = defaultdict(set)
+    for form, n in vocabulary.items():
+        if len(form) < 4 or form in known or _explained(form, vocabulary, CONFUSIONS):
+            continue
+        for size in (1, 2):
+            for i in range(len(form) - size + 1):
+                read = form[i : i + size]
+                for w, true in holes.get((form[:i], form[i + size :]), ()):
+                    # a pair that begins or ends with the letter itself is an inserted character, not a reading of it
+                    if true not in (read[0], read[-1]) and vocabulary[w] >= TIMES * n:
+                        shown[true, read].add(w)
+    return sorted(pair for pair, by in shown.items() if len(by) >= max(CONFUSED_WORDS, CONFUSED_SHARE * could[pair[0]]) and pair not in CONFUSIONS)
+
+
+def train_editor(vocabulary: dict[str, int], confusions: list[tuple[str, str]] = CONFUSIONS) -> Perceptron:
+    """The character editor, from the most frequent plain words and compounds of the vocabulary."""
     rng = random.Random(17)
-    words = [w for w, _ in sorted(vocabulary.items(), key=lambda x: (-x[1], x[0])) if _LOWER.match(w) and len(w) > 2 and not _explained(w, vocabulary)][:TRAIN_WORDS]
-    compounds = [w for w in sorted(vocabulary) if w.count("-") == 1 and vocabulary[w] >= LEAST_FILES][:TRAIN_WORDS]
+    words = _frequent(vocabulary, confusions)
+    compounds = sorted((w for w in vocabulary if w.count("-") == 1 and vocabulary[w] >= LEAST_FILES), key=lambda w: (-vocabulary[w], w))[:TRAIN_WORDS]
     model = Perceptron()
     for _ in range(ROUNDS):
         rng.shuffle(words)
         for w in words:
-            made = damage_word(w, rng, rng.choice((0.0, 0.15, 0.3)))
+            other = rng.choice(("lose", "double", "change")) if len(w) >= OTHER_LENGTH and rng.random() < 0.3 else None
+            made = damage_word(w, rng, rng.choice((0.0, 0.15, 0.3)), confusions, other)
             read = "".join(ch for ch, _ in made)
             for i, (_, op) in enumerate(made):
                 model.learn(_char_features(read, i), op)
@@ -155,15 +233,25 @@ def train_editor(vocabulary: dict[str, int]) -> Perceptron:
         for w in compounds:
             a, b = w.split("-")
             model.learn(_join_features(a, b, "-", lambda x: vocabulary.get(x, 0)), "K")
-        for read, true in LIGATURES:
-            model.learn(_char_features(f"de{read}ne", 2), "I" + true)
-    return model.finish()
+    model.finish()
+    # how much better than keeping an edit must score: what all but a few of newly damaged words reach
+    margins = []
+    for w in words:
+        if len(w) >= OTHER_LENGTH:
+            made = damage_word(w, rng, 0.0, confusions, rng.choice(("lose", "double", "change")))
+            read = "".join(ch for ch, _ in made)
+            for i, (_, op) in enumerate(made):
+                if op != "K":
+                    scores = model.scores(_char_features(read, i))
+                    margins.append(scores.get(op, 0.0) - scores["K"])
+    model.least = sorted(margins)[int(MISSED * len(margins))] if margins else 0.0
+    return model
 
 
-def _explained(word: str, vocabulary: dict[str, int]) -> bool:
+def _explained(word: str, vocabulary: dict[str, int], confusions: list[tuple[str, str]]) -> bool:
     """Whether one confusion undone gives a far more frequent word."""
     n = vocabulary.get(word, 0)
-    for true, read in CONFUSIONS:
+    for true, read in confusions:
         at = word.find(read)
         while at >= 0:
             if vocabulary.get(word[:at] + true + word[at + len(read) :], 0) >= max(LEAST_FILES, TIMES * n):
@@ -172,43 +260,88 @@ def _explained(word: str, vocabulary: dict[str, int]) -> bool:
     return False
 
 
+class _Memo(dict):
+    """What a function makes of a token, remembered."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, token: str):
+        made = self.make(token)
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = made
+        return made
+
+
 class Editor:
-    """The trained perceptron with the vocabulary that its proposals are held against."""
+    """The trained perceptron with the vocabulary that its proposals are held against.
+
+    both gives for a token what undoing confusions makes of it, and what one
+    edit that no confusion explains makes of it where that does nothing. Only
+    lower-case words that the corpus's vocabulary lacks are edited so, into
+    ones of OTHER_FILES files or more: names are rare by nature.
+    """
 
-    def __init__(self, model: Perceptron, vocabulary: dict[str, int]):
-        self.model, self.vocabulary = model, vocabulary
-        self.memo: dict[str, str] = {}
-        self.most = max(vocabulary.values(), default=0)
-        self.alike = {w.translate(_ALIKE) for w, n in vocabulary.items() if n >= LEAST_FILES}
+    def __init__(self, model: Perceptron, vocabulary: dict[str, int], confusions: list[tuple[str, str]] = CONFUSIONS):
+        self.model, self.vocabulary, self.confusions = model, vocabulary, confusions
+        self._start()
+
+    def _start(self) -> None:
+        self.most = max(self.vocabulary.values(), default=0)
+        self.alike = alike(self.confusions)
+        self.forms = {w.translate(self.alike) for w, n in self.vocabulary.items() if n >= LEAST_FILES}
+        # frequent words by what is left of them without one character: two words are one edit apart only if these meet
+        self.near: dict[str, list[str]] = defaultdict(list)
+        for w, n in self.vocabulary.items():
+            if n >= OTHER_FILES and len(w) >= OTHER_LENGTH and _LOWER.match(w):
+                for x in {w, *_left_out(w)}:
+                    self.near[x].append(w)
+        self.longest = max(map(len, self.near), default=0) + 1
+
+        def make(token: str) -> tuple[str, str]:
+            made = self._confused(token)
+            return made, made if made != token or not _LOWER.match(token) else self._other(token)
+
+        self.both = _Memo(make).__getitem__
+
+    def __getstate__(self):
+        return {"model": self.model, "vocabulary": self.vocabulary, "confusions": self.confusions}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._start()
+
+    def correct(self, token: str) -> str:
+        return self.both(token)[0]
+
+    def mend(self, token: str) -> str:
+        return self.both(token)[1]
 
     def count(self, word: str) -> int:
         return self.vocabulary.get(word.lower(), 0)
 
-    def correct(self, token: str) -> str:
-        """What was printed, or the token itself."""
-        known = self.memo.get(token)
-        if known is None:
-            known = self._correct(token)
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            self.memo[token] = known
-        return known
-
-    def _correct(self, token: str) -> str:
-        if len(token) < 3 or len(token) > 40 or not any(c.isalpha() for c in token):
+    def _confused(self, token: str) -> str:
+        """What was printed, by confusions undone, or the token itself."""
+        if len(token) < 3 or not any(c.isalpha() for c in token):
             return token
         low = token.lower()
         need = max(LEAST_FILES, TIMES * self.vocabulary.get(low, 0))
-        if need > self.most or low.translate(_ALIKE) not in self.alike:
+        if need > self.most or low.translate(self.alike) not in self.forms:
             return token  # no word of the vocabulary could have been read so
         # beam over the operations of each character, best sums of scores first
         beam: list[tuple[float, str]] = [(0.0, "")]
         for i, ch in enumerate(low):
-            scores = self.model.scores(_char_features(low, i))
             grown: dict[str, float] = {}
-            for op, s in scores.items():
-                add = ch if op == "K" else "" if op == "D" else op[1:] if op[0] in "RI" else None
-                if add is None or op[0] == "R" and not _may_read(op[1:], low, i) or op == "D" and not _may_drop(low, i):
+            for op, s in self.model.scores(_char_features(low, i)).items():
+                if op == "K":
+                    add = ch
+                elif op == "D" and self._may_drop(low, i):
+                    add = ""
+                elif op[0] == "R" and self._may_read(op[1:], low, i):
+                    add = op[1:]
+                else:
                     continue
                 for total, made in beam:
                     key = made + add
@@ -220,6 +353,24 @@ class Editor:
                 return made.upper() if token.isupper() else made.capitalize() if token[:1].isupper() else made
         return token
 
+    def _other(self, low: str) -> str:
+        """The frequent word one edit away that the perceptron finds likeliest, if as likely as damaged words are; else the token itself."""
+        if not OTHER_LENGTH <= len(low) <= self.longest or low in self.vocabulary:
+            return low
+        best = (self.model.least, 0, low)
+        for word in {w for x in {low, *_left_out(low)} for w in self.near.get(x, ())}:
+            at, op = _single_edit(low, word)
+            if op:
+                scores = self.model.scores(_char_features(low, at))
+                best = max(best, (scores.get(op, 0.0) - scores["K"], self.vocabulary[word], word))
+        return best[2]
+
+    def _may_read(self, true: str, low: str, i: int) -> bool:
+        return any(t == true and low.startswith(r, i) for t, r in self.confusions)
+
+    def _may_drop(self, low: str, i: int) -> bool:
+        return i > 0 and any(len(r) == 2 and low.startswith(r, i - 1) for _, r in self.confusions)
+
     def joins(self, a: str, hyphen: str, b: str) -> bool:
         """Whether a word broken at a line end is one word without its hyphen."""
         if not a or not b or not b[:1].islower() and not a.isupper():
@@ -227,12 +378,20 @@ class Editor:
         return any(self.model.best(_join_features(x.lower(), y.lower(), hyphen, self.count)) == "J" for x, y in {(a, b), (self.correct(a), self.correct(b))})
 
 
-def _may_read(true: str, low: str, i: int) -> bool:
-    return any(t == true and low.startswith(r, i) for t, r in CONFUSIONS)
+def _single_edit(read: str, true: str) -> tuple[int, str]:
+    """Where and by which one operation read becomes true; an empty operation if by none."""
+    at = next((i for i, (a, b) in enumerate(zip(read, true)) if a != b), min(len(read), len(true)))
+    if len(true) == len(read) + 1 and read[at:] == true[at + 1 :]:
+        return at, "I" + true[at]
+    if len(true) == len(read) - 1 and read[at + 1 :] == true[at:]:
+        return at, "D"
+    if len(true) == len(read) and at < len(read) and read[at + 1 :] == true[at + 1 :]:
+        return at, "R" + true[at]
+    return at, ""
 
 
-def _may_drop(low: str, i: int) -> bool:
-    return i > 0 and any(len(r) == 2 and low.startswith(r, i - 1) for _, r in CONFUSIONS)
+def _left_out(word: str) -> list[str]:
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
 
 
 # ---- page furniture ---------------------------------------------------------
@@ -244,9 +403,9 @@ _LEADING, _TRAILING = re.compile(r"(\d{1,4})\s{2,}(\S.*)"), re.compile(r"(.*\S)\
 _NO_HEADER = tuple("<\\{|`#*=-•[(&$\"'~_")
 
 
-def skeleton(line: str) -> str:
+def skeleton(line: str, table: dict[int, str] = _ALIKE) -> str:
     """A line with everything scanners confuse made alike."""
-    return " ".join(line.lower().split()).translate(_ALIKE)
+    return " ".join(line.lower().split()).translate(table)
 
 
 def _chain(found: list[tuple[int, int]], apart: int = PAGE_LINES) -> list[int]:
@@ -280,14 +439,37 @@ def _looks_running(text: str, times: int) -> bool:
     return True
 
 
-def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
-    """Line numbers of running headers, and of lines with page numbers."""
+def page_lines(text: str) -> tuple[list[str], list[int] | None]:
+    """Lines of a text, and the number of each one's page where form feeds part them; None without any.
+
+    A line at a page's edge, one of the first or last EDGE_LINES with words,
+    has its page's number, from 1; others have 0.
+    """
+    pages = [page.split("\n") for page in text.split("\x0c")]
+    lines = [x for page in pages for x in page]
+    if len(pages) < 2:
+        return lines, None
+    edges: list[int] = []
+    for number, page in enumerate(pages, 1):
+        worded = [i for i, x in enumerate(page) if x.strip()]
+        at_edge = set(worded[:EDGE_LINES] + worded[-EDGE_LINES:])
+        edges += [number if i in at_edge else 0 for i in range(len(page))]
+    return lines, edges
+
+
+def furniture(lines: list[str], edges: list[int] | None = None, table: dict[int, str] = _ALIKE) -> tuple[set[int], set[int]]:
+    """Line numbers of running headers, and of lines with page numbers.
+
+    With edges, a line that comes again at the edges of two pages or more, and
+    hardly anywhere else, is a header whatever it says; without, or elsewhere,
+    it must look like one and come a page apart.
+    """
     alone: dict[str, list[tuple[int, int]]] = defaultdict(list)
     groups: dict[str, list[tuple[int, str]]] = defaultdict(list)
     numbers: dict[int, int] = {}
     for i, raw in enumerate(lines):
         s = raw.strip()
-        if not s or len(s) > 120:
+        if not s:
             continue
         m = _ALONE.fullmatch(s)
         if m:
@@ -303,9 +485,13 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
             if m:
                 numbers[i], s = int(m[number]), m[rest].strip()
                 break
-        groups[skeleton(s)].append((i, s))
+        groups[skeleton(s, table)].append((i, s))
     pages: set[int] = set()
     for style, least in (("styled", 2), ("bare", 3), ("bracketed", 3)):
+        if edges:
+            run = _chain([x for x in alone[style] if edges[x[0]]], 1)
+            if len(run) >= 2:
+                pages.update(run)
         run = _chain(alone[style], PAGE_LINES + 2 if style == "bracketed" else PAGE_LINES)
         if len(run) >= least:
             pages.update(run)
@@ -315,7 +501,14 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     headers: set[int] = set()
     for found in groups.values():
         at = [i for i, _ in found]
-        if len(at) < 2 or not any(_looks_running(s, len(at)) for _, s in found):
+        if len(at) < 2:
+            continue
+        if edges:
+            on = [edges[i] for i in at if edges[i]]
+            if len(set(on)) > 1 and len(on) >= AT_EDGE * len(at) and any(c.isalpha() for c in found[0][1]):
+                headers.update(i for i in at if edges[i])
+                continue
+        if not any(_looks_running(s, len(at)) for _, s in found):
             continue
         gaps = sorted(b - a for a, b in zip(at, at[1:]))
         if gaps[len(gaps) // 2] >= PAGE_LINES:
@@ -335,16 +528,17 @@ _HEADING = re.compile(r"(?:\d{1,2}(?:\.\d{1,2})*\.?\s+[A-Z][^.!?]{0,60}|Abstract
 
 def repair(text: str, editor: Editor) -> tuple[list[str], str]:
     """Kinds of damage found, and the text in continuous paragraphs."""
-    lines = text.replace("\x0c", "\n").split("\n")
-    headers, pages = furniture(lines)
+    lines, edges = page_lines(text)
+    headers, pages = furniture(lines, edges, editor.alike)
     body = [x for i, x in enumerate(lines) if i not in headers and i not in pages]
     found = {"header"} if headers else set()
     if pages:
         found.add("page_no")
-    misread, memo = 0, editor.memo
+    misread, both = 0, editor.both
     paragraphs: list[str] = []
     current = ""
     longest = max((len(x) for x in body), default=0)
+    after_break = False
     for n, raw in enumerate(body):
         line = raw
         for read, true in LIGATURES:
@@ -352,15 +546,22 @@ def repair(text: str, editor: Editor) -> tuple[list[str], str]:
                 line = line.replace(read, true)
         fixed = []
         last = 0
+        # the two parts of a word broken at a line end are no words of their own
+        cut = len(line.rstrip()) - 1 if line.rstrip()[-1:] in HYPHENS else len(line)
+        first = after_break
         for m in _TOKEN.finditer(line):
             token = m[0]
-            made = memo.get(token)
-            if made is None:
-                made = editor.correct(token)
+            made, mended = both(token)
             if made != token:
                 misread += 1
+            elif mended != token and not first and m.end() < cut:
+                made = mended
+            first = False
+            if made != token:
                 fixed += [line[last : m.start()], made]
                 last = m.end()
+        if line.strip():
+            after_break = cut < len(line)
         line = "".join(fixed) + line[last:] if fixed else line
         if not line.strip():
             # a blank line within a sentence is where furniture stood
@@ -393,27 +594,31 @@ def repair(text: str, editor: Editor) -> tuple[list[str], str]:
 
 
 def count_words(df: DataFrame, text: str) -> DataFrame:
-    """(word, files): in how many rows each word stands, words broken at line ends left out."""
+    """(word, files): in how many rows each word stands, words broken at line ends left out; of the empty word how many rows there are."""
     broken = re.compile(rf"\S+[-{SOFT_HYPHENS}][ \t]*\n\s*\S+")
 
     def run(batches):
+        counts: Counter[str] = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "files"])
         for batch in batches:
-            counts: Counter[str] = Counter()
             for t in batch.column(0).to_pylist():
-                counts.update({w for w in _TOKEN.findall(broken.sub(" ", t).lower()) if 1 < len(w) <= 40})
+                counts.update({w for w in _TOKEN.findall(broken.sub(" ", t).lower()) if len(w) > 1} | {""})
                 if len(counts) > 400_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "files"])
-                    counts = Counter()
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "files"])
+                    yield out()
+                    counts.clear()
+        yield out()
 
     parts = df.select(F.col(text).alias("text")).filter("text is not null").mapInArrow(run, "word string, files bigint")
     return parts.groupBy("word").agg(F.sum("files").alias("files"))
 
 
 def fit_editor(df: DataFrame, text: str) -> Editor:
-    known = count_words(df, text).filter(F.col("files") >= LEAST_FILES).orderBy(F.desc("files"), "word").limit(VOCABULARY)
-    vocabulary = {r["word"]: r["files"] for r in known.collect()}  # at most VOCABULARY words
-    return Editor(train_editor(vocabulary), vocabulary)
+    counts = cut_lineage(count_words(df, text))
+    files = (counts.filter("word = ''").first() or {"files": 0})["files"]
+    known = counts.filter((F.col("files") >= max(LEAST_FILES, files // KNOWN_SHARE)) & (F.col("word") != ""))
+    vocabulary = {r["word"]: r["files"] for r in known.collect()}  # bounded by KNOWN_SHARE
+    confusions = CONFUSIONS + learn_confusions(vocabulary)
+    return Editor(train_editor(vocabulary, confusions), vocabulary, confusions)
 
 
 def repair_pages(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -436,9 +641,21 @@ def repair_pages(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, damage array<string>, repaired string").withColumnRenamed("key", key)
 
 
+#: Files whose text only the papers have that are broadcast at most, about 20 MB of names.
+MISSING_FILES = 200_000
+
+
 def page_texts(texts: DataFrame, papers: DataFrame) -> DataFrame:
-    """(file_path, text): each page text once, from arxiv_text_parquet and, where it differs or is missing there, from raw_text."""
-    ours = texts.select("file_path", "text", F.xxhash64("text").alias("h")).filter("text is not null")
-    theirs = papers.select("file_path", F.col("raw_text").alias("text"), F.xxhash64("raw_text").alias("h")).filter("text is not null")
-    missing = theirs.join(ours.select("file_path", "h"), ["file_path", "h"], "left_anti")
-    return ours.select("file_path", "text").unionByName(missing.select("file_path", "text"))
+    """(file_path, text): each page text once, from arxiv_text_parquet and, where it differs or is missing there, from raw_text; a stored table.
+
+    Which texts are missing is told by hashes; of the papers' texts only the
+    missing ones are moved.
+    """
+    both = lambda df, c: df.select("file_path", F.col(c).alias("text"), F.xxhash64(c).alias("h")).filter("text is not null")
+    ours, theirs = both(texts, "text"), both(papers, "raw_text")
+    missing = cut_lineage(theirs.select("file_path", "h").distinct().join(ours.select("file_path", "h"), ["file_path", "h"], "left_anti"))
+    n = missing.limit(MISSING_FILES + 1).count()
+    if n:
+        ours = ours.unionByName(theirs.join(F.broadcast(missing) if n <= MISSING_FILES else missing, ["file_path", "h"], "left_semi"))
+    # a file written twice is one
+    return cut_lineage(ours.groupBy("file_path", "h").agg(F.first("text").alias("text")).select("file_path", "text"))
