@@ -81,24 +81,37 @@ def references_at(t: Column) -> Column:
     return F.when(heading > 0, low + heading - 1).when(listed > 0, strict + listed - 1)
 
 
-def _normalised(df: DataFrame, parted: str, pages, upto: str, control: str, tail) -> DataFrame:
+def rounded(x: Column, digits: int) -> Column:
+    """As published: halves that a double holds exactly go to the even digit."""
+    return F.bround(x, digits)
+
+
+def _normalised(df: DataFrame, parted: str, pages, upto: str, control: str, tail, compose: bool) -> DataFrame:
     """df with _clean: the last steps of a cleaner, each column computed once."""
-    df = df.withColumn("_plain", ligatures(replace_all(F.col(parted), pages), upto)).withColumn("_plain", nfkc(F.col("_plain")))
+    df = df.withColumn("_plain", ligatures(replace_all(F.col(parted), pages), upto))
+    df = df.withColumn("_plain", nfkc(F.col("_plain"))) if compose else df
     body = F.regexp_replace(F.regexp_replace(F.col("_plain"), P.CONTROL, control), java(P.HYPHEN), "$1$2")
     return df.withColumn("_clean", strip(replace_all(body, tail))).drop("_plain")
 
 
-def clean_offline(df: DataFrame, text: str, out: str = "cleaned") -> DataFrame:
-    """df with struct(clean_text, has_references, word_count_clean, reduction_ratio, quality_flag); a null text is as an empty one."""
+def clean_offline(df: DataFrame, text: str, out: str = "cleaned", compose: bool = True) -> DataFrame:
+    """df with struct(clean_text, has_references, word_count_clean, reduction_ratio, quality_flag); a null text is as an empty one.
+
+    The flag follows from the ratio before it is rounded to three digits.
+    Without compose the step of Unicode NFKC is left out.
+    """
     raw = F.coalesce(F.col(text), F.lit(""))
-    parted = let(drop_front_matter(raw), lambda front: let(references_at(front), lambda cut: F.struct(F.when(cut.isNotNull(), F.substring(front, F.lit(1), cut)).otherwise(front).alias("kept"), cut.isNotNull().alias("cut"))))
-    df = _normalised(df.withColumn("_parted", parted), "_parted.kept", P.OFFLINE_PAGES, "ﬆ", "", P.OFFLINE_TAIL)
+    # a column for each step: inside lambdas Catalyst would interpret them
+    df = df.withColumn("_front", drop_front_matter(raw)).withColumn("_cut", references_at(F.col("_front")))
+    kept = F.when(F.col("_cut").isNotNull(), F.substring(F.col("_front"), F.lit(1), F.col("_cut"))).otherwise(F.col("_front"))
+    df = df.withColumn("_parted", F.struct(kept.alias("kept"), F.col("_cut").isNotNull().alias("cut"))).drop("_front", "_cut")
+    df = _normalised(df, "_parted.kept", P.OFFLINE_PAGES, "ﬆ", "", P.OFFLINE_TAIL, compose)
     counted = F.struct(word_count(F.col("_clean")).alias("n"), word_count(raw).alias("raw"))
 
     def result(c: Column) -> Column:
         ratio = F.when(c["raw"] > 0, c["n"] / c["raw"]).otherwise(F.lit(0.0))
         return F.struct(
-            F.col("_clean").alias("clean_text"), F.col("_parted.cut").alias("has_references"), c["n"].alias("word_count_clean"), ratio.alias("reduction_ratio"), quality_offline(c["n"], ratio).alias("quality_flag")
+            F.col("_clean").alias("clean_text"), F.col("_parted.cut").alias("has_references"), c["n"].alias("word_count_clean"), rounded(ratio, 3).alias("reduction_ratio"), quality_offline(c["n"], ratio).alias("quality_flag")
         )
 
     return df.withColumn(out, let(counted, result)).drop("_parted", "_clean")
@@ -123,8 +136,8 @@ def online_references_at(t: Column) -> Column:
     return F.least(*[F.when(f > 0, start + f - 1) for f in found])
 
 
-def clean_online(df: DataFrame, text: str, out: str = "cleaned") -> DataFrame:
-    """df with struct(clean_text, references_text, word_count_clean, quality_flag, has_references)."""
+def clean_online(df: DataFrame, text: str, out: str = "cleaned", compose: bool = True) -> DataFrame:
+    """df with struct(clean_text, references_text, word_count_clean, quality_flag, has_references); without compose no Unicode NFKC."""
 
     def parts(front: Column) -> Column:
         return let(
@@ -136,7 +149,7 @@ def clean_online(df: DataFrame, text: str, out: str = "cleaned") -> DataFrame:
         )
 
     df = df.withColumn("_parted", let(online_front(F.coalesce(F.col(text), F.lit(""))), parts))
-    df = _normalised(df, "_parted.body", P.ONLINE_PAGES, "ﬅ", " ", P.ONLINE_TAIL)
+    df = _normalised(df, "_parted.body", P.ONLINE_PAGES, "ﬅ", " ", P.ONLINE_TAIL, compose)
 
     def result(n: Column) -> Column:
         return F.struct(

@@ -60,7 +60,7 @@ def test_offline_cleaner(rows):
         n, before = len(clean.split()), len((TEXTS[r["i"]] or "").split())
         assert (c["clean_text"], c["has_references"], c["word_count_clean"]) == (clean, cut, n)
         ratio = n / before if before else 0.0
-        assert c["reduction_ratio"] == pytest.approx(ratio)
+        assert c["reduction_ratio"] == round(ratio, 3)
         assert c["quality_flag"] == ("empty" if n < 300 else "low_quality" if n < 500 else "over_cleaned" if ratio < 0.3 else "ok")
 
 
