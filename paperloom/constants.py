@@ -17,6 +17,7 @@ SENTENCE_RATIO = 2.5
 SEMANTIC_THRESHOLD = 0.85
 CHUNK_SENTENCES = 4
 SIMILARITY_HIGH = 0.7
+CHECK_PAPERS = 100
 
 
 def permutation_parameters(n: int = PERMUTATIONS) -> tuple[list[int], list[int]]:

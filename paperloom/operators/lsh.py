@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from paperloom import constants as K
 from paperloom.functions import similarity as S
-from paperloom.operators.metadata import base_id
-from paperloom.session import spread
+from paperloom.operators.metadata import base_id, pid_norm, pid_prefix
+from paperloom.session import cut_lineage, split_hot, spread
 
 
 def sign(df: DataFrame, key: str, text: str, least_chars: int = 200) -> DataFrame:
@@ -35,10 +35,10 @@ def _classes(signatures: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard_similarity): classes that share a bucket and reach the threshold."""
-    buckets = bucket_table(classes, "class_id").select("bucket", "class_id")
-    other = buckets.select("bucket", F.col("class_id").alias("b"))
-    found = buckets.withColumnRenamed("class_id", "a").join(other, "bucket").filter("a < b").select("a", "b").distinct()
+    """(a, b, jaccard_similarity): classes that share a bucket and reach the threshold; hot buckets are dealt over several tasks."""
+    buckets = cut_lineage(bucket_table(classes, "class_id").select("bucket", "class_id"))
+    left, right, on = split_hot(buckets, buckets, ["bucket"])
+    found = left.withColumnRenamed("class_id", "a").join(right.withColumnRenamed("class_id", "b"), on).filter("a < b").select("a", "b").distinct()
     side = lambda n: classes.select(F.col("class_id").alias(n), F.col("signature").alias(f"s{n}"))
     scored = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", S.agreement(F.col("sa"), F.col("sb")).alias("jaccard_similarity"))
     return scored.filter(F.col("jaccard_similarity") >= threshold)
@@ -73,6 +73,12 @@ def different_papers(pairs: DataFrame) -> DataFrame:
     return pairs.filter(base_id(F.col("id_a").cast("string")) != base_id(F.col("id_b").cast("string")))
 
 
+def _met(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(a, b): classes of the queries and of the index that share a bucket; a hot bucket's classes are dealt over several tasks."""
+    left, right, on = split_hot(cut_lineage(bucket_table(index, "class_id")), bucket_table(queries, "class_id"), ["band", "bucket"])
+    return right.withColumnRenamed("class_id", "a").join(left.withColumnRenamed("class_id", "b"), on).select("a", "b").distinct()
+
+
 def bucket_mates(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """(query_id, candidate, jaccard_similarity): every bucket mate of each query, without a cut.
 
@@ -84,7 +90,7 @@ def bucket_mates(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
     asking, q = _classes(queries, key)
     members, c = _classes(index, key)
     side = lambda df, n: df.select(F.col("class_id").alias(n), F.col("signature").alias(f"s{n}"))
-    met = bucket_table(q, "class_id").withColumnRenamed("class_id", "a").join(bucket_table(c, "class_id").withColumnRenamed("class_id", "b"), ["band", "bucket"]).select("a", "b").distinct()
+    met = _met(q, c)
     scored = met.join(side(q, "a"), "a").join(side(c, "b"), "b").select("a", "b", S.agreement(F.col("sa"), F.col("sb")).alias("jaccard_similarity"))
     found = scored.join(asking.select(F.col(key).alias("query_id"), F.col("class_id").alias("a")), "a").join(members.select(F.col(key).alias("candidate"), F.col("class_id").alias("b")), "b")
     return found.filter(F.col("query_id") != F.col("candidate")).groupBy("query_id", "candidate").agg(F.max("jaccard_similarity").alias("jaccard_similarity"))
@@ -93,19 +99,60 @@ def bucket_mates(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
 def probe(queries: DataFrame, index: DataFrame, key: str, most: int = K.MAX_CANDIDATES) -> DataFrame:
     """(query_id, candidate, jaccard_similarity, rank): for each query its most similar bucket mates.
 
-    queries and index have (key, signature). Equal similarities rank by id, so
-    the cut at most is the same in every run. A key isn't its own candidate.
+    queries and index have (key, signature). Classes of equal signatures are
+    compared once, and only the classes that can hold the first most mates are
+    expanded to their members. Equal similarities rank by id, so the cut is
+    the same in every run. A key isn't its own candidate.
     """
-    mates = bucket_table(queries, key).withColumnRenamed(key, "query_id").join(bucket_table(index, key).withColumnRenamed(key, "candidate"), ["band", "bucket"])
-    found = mates.filter(F.col("query_id") != F.col("candidate")).select("query_id", "candidate").distinct()
-    q = whole(queries).select(F.col(key).alias("query_id"), F.col("signature").alias("qs")).dropDuplicates(["query_id"])
-    c = whole(index).select(F.col(key).alias("candidate"), F.col("signature").alias("cs")).dropDuplicates(["candidate"])
-    scored = found.join(q, "query_id").join(c, "candidate").withColumn("jaccard_similarity", S.agreement(F.col("qs"), F.col("cs")))
+    asking, q = _classes(queries.dropDuplicates([key]), key)
+    members, c = _classes(index.dropDuplicates([key]), key)
+    side = lambda df, n: df.select(F.col("class_id").alias(n), F.col("signature").alias(f"s{n}"))
+    scored = _met(q, c).join(side(q, "a"), "a").join(side(c, "b"), "b").select("a", "b", S.agreement(F.col("sa"), F.col("sb")).alias("jaccard_similarity"))
+    # by id, so that of a class only its first most + 1 members can be among the first most mates
+    first = members.withColumn("no", F.row_number().over(Window.partitionBy("class_id").orderBy(key))).filter(F.col("no") <= most + 1)
+    better = Window.partitionBy("a").orderBy(F.desc("jaccard_similarity")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = members.groupBy(F.col("class_id").alias("b")).agg(F.count("*").alias("n"))
+    above = F.sum("n").over(better) - F.sum("n").over(Window.partitionBy("a", "jaccard_similarity"))
+    needed = scored.join(sizes, "b").withColumn("above", above).filter(F.col("above") <= most)
+    found = needed.join(first.select(F.col("class_id").alias("b"), F.col(key).alias("candidate")), "b").join(asking.select(F.col("class_id").alias("a"), F.col(key).alias("query_id")), "a")
     order = Window.partitionBy("query_id").orderBy(F.desc("jaccard_similarity"), "candidate")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("query_id", "candidate", "jaccard_similarity", "rank")
+    ranked = found.filter(F.col("query_id") != F.col("candidate")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return ranked.select("query_id", "candidate", "jaccard_similarity", "rank")
+
+
+def self_probe(signatures: DataFrame, key: str, first: int = 5, most: int = K.MAX_CANDIDATES) -> DataFrame:
+    """The mates of the index's first keys in their order, as a test of the index."""
+    asked = whole(signatures).select(key).distinct().orderBy(key).limit(first)
+    return probe(signatures.join(F.broadcast(asked), key, "left_semi"), signatures, key, most)
+
+
+def top_pairs(pairs: DataFrame, most: int = 10) -> DataFrame:
+    """The most similar pairs of the highest level; equal similarities come by their ids."""
+    return pairs.filter(F.col("similarity_level") == "HIGH").orderBy(F.desc("jaccard_similarity"), "id_a", "id_b").limit(most)
 
 
-def look_up(candidates: DataFrame, lookup: DataFrame, key: str = "candidate") -> DataFrame:
-    """Rows of the lookup table whose paper is a candidate; with pid_prefix partitions only theirs are read."""
-    ids = candidates.select(F.col(key).alias("paper_id")).distinct()
-    return lookup.join(ids, "paper_id", "left_semi")
+def lookup_table(papers: DataFrame) -> DataFrame:
+    """papers with pid_norm and pid_prefix, to be written by prefix; ids too short to have one are left out, as published."""
+    norm = pid_norm(F.col("paper_id"))
+    return papers.withColumn("pid_norm", norm).withColumn("pid_prefix", pid_prefix(norm)).filter("pid_prefix is not null")
+
+
+#: Candidates whose ids are broadcast at most, about 4 MB, and prefixes that are named to the scan at most; beyond it the lookup is a shuffled join over all partitions.
+LOOKUP_IDS, LOOKUP_PREFIXES = 50_000, 2_000
+
+
+def look_up(candidates: DataFrame, lookup: DataFrame, key: str = "candidate", most: int | None = None) -> DataFrame:
+    """Rows of a lookup table (see lookup_table) whose paper is a candidate.
+
+    The candidates' prefixes are a filter of the scan, so of a table stored by
+    pid_prefix only their partitions are read. With most only so many rows,
+    the first by paper.
+    """
+    norm = pid_norm(F.col(key))
+    ids = cut_lineage(candidates.select(norm.alias("pid_norm"), pid_prefix(norm).alias("pid_prefix")).filter("pid_prefix is not null").distinct())
+    prefixes = [r[0] for r in ids.select("pid_prefix").distinct().limit(LOOKUP_PREFIXES + 1).collect()]
+    if len(prefixes) <= LOOKUP_PREFIXES:
+        lookup = lookup.filter(F.col("pid_prefix").isin(prefixes))
+    small = ids.limit(LOOKUP_IDS + 1).count() <= LOOKUP_IDS
+    found = lookup.join(F.broadcast(ids) if small else ids, ["pid_prefix", "pid_norm"], "left_semi")
+    return found.orderBy("pid_norm", "paper_id").limit(most) if most is not None else found

@@ -12,6 +12,7 @@ from paperloom.functions import patterns as P
 from paperloom.functions import similarity as S
 from paperloom.functions import text as X
 from paperloom.functions.rx import java
+from paperloom.session import cut_lineage, split_hot
 
 
 def any_like(t: Column, patterns) -> Column:
@@ -57,7 +58,7 @@ def find_matches(inputs: DataFrame, sources: DataFrame, candidates: DataFrame, f
     columns); candidates: (query_id, paper_id). Pairs are compared only within
     a query's candidates and by native length tests; the character ratio runs
     in batches on what the cheap tests leave, and not at all where the texts
-    are equal or contain each other.
+    are equal. Without fuzzy it isn't needed and fuzzy_ratio is null.
     """
     a = inputs.select(
         "query_id", F.col("segment_id").alias("input_segment_id"), F.col("section").alias("input_section"), F.col("text").alias("input_text"),
@@ -74,7 +75,8 @@ def find_matches(inputs: DataFrame, sources: DataFrame, candidates: DataFrame, f
     scored = scored.drop("input_shingles", "source_shingles", "input_plain", "source_plain")
     sure = scored.filter(F.col("is_exact") | (F.col("ngram_overlap") >= K.NGRAM_THRESHOLD))
     ratio = S.indel_ratio(F.col("input_text"), F.col("source_text"))
-    found = sure.withColumn("fuzzy_ratio", ratio)
+    # equal texts have ratio 1; the function is not called for them
+    found = sure.withColumn("fuzzy_ratio", F.coalesce(S.indel_ratio(F.when(~F.col("is_exact") | (F.col("input_text") != F.col("source_text")), F.col("input_text")), F.col("source_text")), F.lit(1.0)) if fuzzy else F.lit(None).cast("double"))
     if fuzzy:
         rest = scored.filter(~F.col("is_exact") & (F.col("ngram_overlap") < K.NGRAM_THRESHOLD) & S.indel_possible(F.col("input_text"), F.col("source_text"), K.FUZZY_THRESHOLD))
         found = found.unionByName(rest.withColumn("fuzzy_ratio", ratio).filter(F.col("fuzzy_ratio") >= K.FUZZY_THRESHOLD))
@@ -92,7 +94,10 @@ def containment_join(queries: DataFrame, corpus: DataFrame, key: str, text: str,
     """
     q = queries.select(F.col(key).alias("query_id"), F.explode(S.shingles(F.col(text))).alias("s")).select("query_id", F.xxhash64("s").alias("h"))
     sizes = q.groupBy("query_id").agg(F.count("*").alias("n"))
+    q = cut_lineage(q)
     wanted = q.select("h").distinct()
     c = corpus.select(F.col(key).alias("source_id"), F.explode(S.shingles(F.col(text))).alias("s")).select("source_id", F.xxhash64("s").alias("h")).join(wanted, "h", "left_semi")
-    shared = q.join(c, "h").filter("query_id <> source_id").groupBy("query_id", "source_id").agg(F.count("*").alias("shared"))
+    # a shingle that a third of all rows have is dealt over several tasks
+    c, q, on = split_hot(cut_lineage(c), q, ["h"])
+    shared = q.join(c, on).filter("query_id <> source_id").groupBy("query_id", "source_id").agg(F.count("*").alias("shared"))
     return shared.join(sizes, "query_id").withColumn("ngram_overlap", F.col("shared") / F.col("n")).filter(F.col("ngram_overlap") >= least).drop("n")

@@ -45,7 +45,7 @@ def spread(df: DataFrame) -> DataFrame:
     most SPREAD_BYTES at any size of the cluster; larger tables keep the
     partitions of their scan.
     """
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,8 +1,10 @@
 import json
+import re
+import zipfile
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import metadata
+from paperloom.operators import lsh, metadata
 from paperloom.sources import readers, web, writers
 from paperloom.streaming.ingest import ingest
 
@@ -67,3 +69,59 @@ def test_catalogue_names():
     from paperloom.plans import catalogue
 
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_line_range_over_several_files(spark, tmp_path):
+    lines = [f"line {i}" for i in range(500)]
+    for n in range(5):
+        (tmp_path / f"part-{n}.txt").write_text("\n".join(lines[100 * n : 100 * (n + 1)]) + "\n")
+    for start, end in ((0, 3), (95, 305), (499, 600), (600, 700)):
+        got = readers.line_range(spark, str(tmp_path), start, end).orderBy("line_no").collect()
+        assert [(r["line_no"], r["value"]) for r in got] == [(i, lines[i]) for i in range(start, min(end, 500))]
+
+
+def test_zipped_lines(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "dump.zip", "w") as packed:
+        packed.writestr("a.jsonl", "\n".join(json.dumps({"id": f"{i}", "title": "é"}) for i in range(50)) + "\n")
+        packed.writestr("b.jsonl", json.dumps({"id": "x"}) + "\n\n")
+    df = readers.read_jsonl_zip(spark, str(tmp_path), metadata.RAW_SNAPSHOT, ["id", "title"])
+    assert {(r["id"], r["title"]) for r in df.collect()} == {(f"{i}", "é") for i in range(50)} | {("x", None)}
+
+
+def test_pages_of_a_checked_text_and_paths(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.pdf").write_bytes(b"  few words ")
+    (tmp_path / "two.pdf").write_bytes(b"more")
+    out = readers.extract_pages(spark, str(tmp_path), lambda c: [c.decode(), "end"], least_words=None).filter("file_path like '%one.pdf'").first()
+    assert out["text"] == "  few words \nend" and [tuple(p) for p in out["pages"]] == [(1, "  few words "), (2, "end")] and out["page_count"] == 2 and out["word_count"] == 3
+    names = spark.createDataFrame([("one.pdf",), ("none.pdf",)], "paper_id string")
+    found = readers.storage_paths(names, readers.list_files(spark, str(tmp_path))).collect()
+    assert [r["paper_id"] for r in found] == ["one.pdf"] and found[0]["path"].endswith("/a/one.pdf")
+
+
+def test_lookup_reads_only_the_candidates_partitions(spark, tmp_path):
+    rows = [(f"arxiv_{p}.{i:05d}.pdf", i) for p in ("0704", "2101", "2102", "2103") for i in range(20)] + [("x", 1)]
+    table = lsh.lookup_table(spark.createDataFrame(rows, "paper_id string, n int"))
+    writers.write_partitioned(table, str(tmp_path / "lookup"), ["pid_prefix"])
+    lookup = readers.read_lookup(spark, str(tmp_path / "lookup"))
+    candidates = spark.createDataFrame([("arxiv_0704.00003.pdf",), ("arxiv_2103.00007",), ("abc",), (None,)], "candidate string")
+    found = lsh.look_up(candidates, lookup)
+    assert sorted(r["paper_id"] for r in found.collect()) == ["arxiv_0704.00003.pdf", "arxiv_2103.00007.pdf"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*pid_prefix#\d+ IN \((0704,2103|2103,0704)\)", plan), plan
+    assert lsh.look_up(candidates, lookup, most=1).count() == 1
+
+
+def test_vector_index_description_and_preview(spark):
+    vecs = spark.createDataFrame([(1, [0.5, 0.5]), (2, None)], "vec_id int, v array<double>")
+    assert json.loads(writers.vector_index_description(vecs, "v", "m", "exact", ["abstract"]).first()[0]) == {"model": "m", "dim": 2, "n": 1, "type": "exact", "sections": ["abstract"]}
+    assert [r["vec_id"] for r in writers.preview(vecs.select("vec_id"), 1, ["vec_id"])] == [1]
+
+
+def test_page_of_a_report():
+    match = {"match_type": "exact", "match_score": 1.0, "source_paper_id": "p1", "validity": "EXCLUDED", "exclusion_reasons": ["small_match"], "input_text": "<b>" + "x" * 1300, "source_text": None, "word_count": 7}
+    source = {"rank": 1, "source_paper_id": "arxiv_1.pdf", "source_title": "A & B", "matched_words": 5, "contribution_percent": 45.0, "risk_level": "Very High", "abs_url": "https://arxiv.org/abs/1", "pdf_url": "https://arxiv.org/pdf/1"}
+    page = writers.render_html({"overall_similarity": 41.234, "risk_level": "Very High", "matched_words": 3, "total_words": 9, "candidate_count": 4, "top_sources": [source], "matches": [match, match | {"validity": "VALID", "exclusion_reasons": []}]})
+    for part in ("41.23 %", "3/9", "A &amp; B", "<td class='high'>Very High</td>", "https://arxiv.org/abs/1", "https://arxiv.org/pdf/1", "&lt;b&gt;" + "x" * 1197 + "...", "<td>small_match</td><td>1</td>", "<div>Valid</div><b>1</b>", "<div>Words in excluded</div><b>7</b>", "<div>Candidates</div><b>4</b>"):
+        assert part in page, part
+    assert "No sources" in writers.render_html({})

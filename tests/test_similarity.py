@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from paperloom import constants as K
@@ -101,3 +102,58 @@ def test_index_positions(spark):
     got = vectors.index_positions(spark.createDataFrame(rows, "p string, c int"), ["p", "c"]).collect()
     assert [(r["p"], r["c"]) for r in sorted(got, key=lambda r: r["index_position"])] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
     assert sorted(r["index_position"] for r in got) == list(range(len(rows)))
+
+
+def test_nearest_exact_and_in_cells(spark):
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(40, 16))
+    data = centres[draw.integers(0, 40, 3000)] + 0.6 * draw.normal(size=(3000, 16))
+    data[:900] = data[0]  # a third of all vectors are copies
+    data[5] = 0
+    rows = [(i, [float(x) for x in v], "x") for i, v in enumerate(data)] + [(9999, None, "x")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id string")
+    asked = df.filter("vec_id % 50 = 0")
+    exact = {}
+    for r in vectors.nearest(asked, df, "vec_id", "embedding", 10).collect():
+        exact.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    unit = np.asarray(data, dtype=np.float32).astype(float)
+    unit = unit / np.where(np.linalg.norm(unit, axis=1) > 0, np.linalg.norm(unit, axis=1), 1)[:, None]
+    for q, found in exact.items():
+        score = np.round(unit @ unit[q], 12)
+        score[q] = -9
+        want = np.lexsort((np.arange(3000), -score))[:10]
+        assert np.allclose(score[[v for _, v in sorted(found)]], score[want])
+    index = vectors.fit_cells(df, "embedding", 10)
+    assert index.recall >= vectors.RECALL and index.probes < len(index.centres)
+    near = vectors.nearest_in_cells(asked, df, "vec_id", "embedding", 10, index).collect()
+    hit = total = 0
+    for q, found in exact.items():
+        if q in (0, 50) or q < 900:
+            continue
+        got = {r["vec_id"] for r in near if r["query_id"] == q}
+        hit += len(got & {v for _, v in found})
+        total += len(found)
+    assert hit / total >= 0.9
+    assert vectors.nearest_in_cells(asked.limit(0), df.limit(0), "vec_id", "embedding").count() == 0
+    assert vectors.nearest(asked.limit(0), df.limit(0), "vec_id", "embedding").count() == 0
+
+
+def test_probe_equals_brute_force_with_many_copies(spark, monkeypatch):
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(draw.choice(words) for _ in range(60)) for _ in range(8)]
+    rows = [(i, texts[0] if i % 3 == 0 else texts[draw.randrange(8)] + f" tail {draw.randrange(3)}") for i in range(240)]
+    signed = lsh.sign(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", least_chars=0).cache()
+    sig = {r["doc_id"]: r["signature"] for r in signed.collect()}
+    bands = lambda s: {(b, tuple(s[5 * b : 5 * b + 5])) for b in range(25)}
+    for most in (3, 50):
+        got = {}
+        for r in lsh.probe(signed.filter("doc_id % 50 = 0"), signed, "doc_id", most).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["candidate"], r["jaccard_similarity"]))
+        for q in range(0, 240, 50):
+            mates = [(-sum(a == b for a, b in zip(sig[q], s)) / 128, i) for i, s in sig.items() if i != q and bands(sig[q]) & bands(s)]
+            assert sorted(got.get(q, [])) == [(n, i, -s) for n, (s, i) in enumerate(sorted(mates)[:most], 1)]
+    pairs = {tuple(r) for r in lsh.near_duplicate_pairs(signed, "doc_id").collect()}
+    split = lsh.split_hot
+    monkeypatch.setattr(lsh, "split_hot", lambda left, right, on: split(left, right, on, 2))
+    assert {tuple(r) for r in lsh.near_duplicate_pairs(signed, "doc_id").collect()} == pairs
