@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +15,7 @@ from paperloom.operators import layers as L
 from paperloom.operators import lsh, metadata, ml_lsh, scoring, vectors
 from paperloom.operators.matching import any_like, containment_join, make_segments
 from paperloom.plans import pipeline
-from paperloom.session import spread, table
+from paperloom.session import cut_lineage, shared_folder, spread, table
 from paperloom.sources import readers, writers
 from paperloom.streaming import ingest
 
@@ -125,8 +122,10 @@ def sections_online(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    made = make_segments(_papers(spark, d, "introduction", "body"), "paper_id", [("introduction", "introduction"), ("body", "body")])
-    return made.select("paper_id", "section", "segment_id", "text", "word_count", "is_quote", "near_citation", (F.col("end_char") - F.col("start_char")).alias("n_chars"))
+    made = make_segments(_papers(spark, d, "introduction", "body"), "paper_id", [("introduction", "introduction"), ("body", "body")], carry=["introduction", "body"])
+    whole = F.when(F.col("section") == "introduction", F.col("introduction")).otherwise(F.col("body"))
+    placed = F.substring(whole, F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) == F.col("text")
+    return made.select("paper_id", "section", "segment_id", "text", "word_count", "is_quote", "near_citation", (F.col("end_char") - F.col("start_char")).alias("n_chars"), placed.alias("placed"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +140,8 @@ def chunks_by_section(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signed(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.sign(table(spark, d, "documents"), "doc_id", "text")
+    """Signatures of the documents, made once and kept: every plan reads them more than once."""
+    return cut_lineage(lsh.sign(table(spark, d, "documents"), "doc_id", "text"))
 
 
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +149,7 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
-    return _signed(spark, d).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), " ").alias("signature"))
+    return lsh.sign(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.array_join(F.col("signature").cast("array<string>"), " ").alias("signature"))
 
 
 def lsh_bucket_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ def near_dup_levels(spark: SparkSession, d: str) -> DataFrame:
 def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
     """Stored signatures of papers: each paper with its number of links to other classes."""
     stored = table(spark, d, "minhash_signatures")
-    return lsh.near_duplicate_classes(stored, "paper_id").groupBy("paper_id").agg(F.max("n_links").alias("n_links"))
+    return lsh.near_duplicate_classes(stored, "paper_id").groupBy("paper_id").agg(F.max("n_links").alias("n_links"), F.count_distinct("class_id").alias("n_classes"))
 
 
 def stored_pair_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +244,7 @@ def concept_parts(spark: SparkSession, d: str) -> DataFrame:
 
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     vecs = table(spark, d, "embeddings")
-    return vectors.nearest(vecs.filter(_is_query("vec_id")), vecs, "vec_id", "embedding").select("query_id", "vec_id", "rank")
+    return vectors.nearest(vecs.filter(_is_query("vec_id")), vecs, "vec_id", "embedding").select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
 def index_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -253,13 +253,17 @@ def index_positions(spark: SparkSession, d: str) -> DataFrame:
     return vectors.index_positions(rows, ["paper_id", "chunk_id"])
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, raw_text): page texts of later versions of papers, one for each."""
+    rows = table(spark, d, "arxiv_silver_plus").filter(F.col("paper_id").rlike(r"v[0-9]+\.pdf\z") & F.col("raw_text").isNotNull())
+    return rows.groupBy(F.col("paper_id").alias("query_id")).agg(F.min("raw_text").alias("raw_text"))
+
+
 def _check(spark: SparkSession, d: str) -> pipeline.Check:
-    documents = table(spark, d, "documents").filter("text is not null")
-    queries = documents.filter(_is_query("doc_id")).select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("raw_text"))
-    key = F.col("doc_id").cast("string").alias("paper_id")
-    signatures = lsh.sign(documents.select(key, "text"), "paper_id", "text")
-    lookup = documents.select(key, F.lit("").alias("title"), F.lit("").alias("introduction"), F.lit("").alias("body"), F.col("text").alias("clean_text"))
-    return pipeline.check(queries, signatures, lookup)
+    """Later versions of papers held against all papers, with their titles and sections."""
+    papers = table(spark, d, "arxiv_silver_plus").select("paper_id", "title", "abstract", "introduction", "body", "clean_text")
+    signatures = cut_lineage(pipeline.index_signatures(papers.dropDuplicates(["paper_id"])))
+    return pipeline.check(_asked(spark, d), signatures, papers)
 
 
 def check_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +280,7 @@ def check_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     made = _check(spark, d)
-    return writers.reports(made.scores, made.sources, made.matches)
+    return writers.reports(made.scores, made.sources, made.matches, pipeline.facts(_asked(spark, d), made))
 
 
 def layer_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -292,14 +296,15 @@ def layer_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """All page texts taken up by the file stream; each file once."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-ingest-")
-    target = os.path.join(base, f"ingest-{os.urandom(6).hex()}")
+    """All page texts taken up by the file stream, each file once: cleaned (without NFKC, which SQL lacks), signed, entered into the buckets."""
+    target = shared_folder(spark, "ingest")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/arxiv_text_parquet.parquet")
     single = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
     source, pattern = (d, path.getName()) if single else (str(path), None)
-    ingest.ingest(spark, source, target, f"{target}/checkpoint", pattern=pattern)
-    return spark.read.parquet(f"{target}/cleaned").dropDuplicates(["file_path"]).select("file_path", "word_count_raw")
+    ingest.ingest(spark, source, target, f"{target}/checkpoint", pattern=pattern, compose=False)
+    cleaned = spark.read.parquet(f"{target}/cleaned").dropDuplicates(["file_path"])
+    n = spark.read.parquet(f"{target}/buckets").groupBy("paper_id").agg(F.count_distinct("band").alias("bands"))
+    return cleaned.join(n, "paper_id", "left").select("file_path", "word_count_raw", "word_count_clean", "quality_flag", F.md5("clean_text").alias("clean_md5"), F.coalesce("bands", F.lit(0)).alias("bands"))
 
 
 # ---- SQL --------------------------------------------------------------------
@@ -386,7 +391,7 @@ def _segment_sql() -> str:
     ]
     plain = _strip("text")
     quote = f"(({plain} LIKE '\"%' AND {plain} LIKE '%\"') OR ({plain} LIKE '''%' AND {plain} LIKE '%'''))"
-    return f"""SELECT paper_id, section, segment_id, text, {_words('text')}::INTEGER AS word_count, {quote} AS is_quote, {_like('text', P.SEGMENT_CITATIONS)} AS near_citation, length(text)::INTEGER AS n_chars
+    return f"""SELECT paper_id, section, segment_id, text, {_words('text')}::INTEGER AS word_count, {quote} AS is_quote, {_like('text', P.SEGMENT_CITATIONS)} AS near_citation, length(text)::INTEGER AS n_chars, true AS placed
       FROM ({' UNION ALL '.join(parts)}) WHERE {_words('text')} >= {K.MIN_SEGMENT_WORDS}"""
 
 
@@ -488,7 +493,7 @@ def oracle_sql() -> dict[str, str]:
         "minhash_signatures": f"WITH {_signature_sql(_DOCUMENTS)} SELECT id AS doc_id, array_to_string(signature, ' ') AS signature FROM sig",
         "lsh_bucket_sizes": f"WITH {_signature_sql(_DOCUMENTS)}, b AS (SELECT band, {band} AS k, count(*) AS n FROM (SELECT signature, unnest(range(0, {K.BANDS})) AS band FROM sig) GROUP BY ALL) SELECT band::INTEGER AS band, count(*) AS buckets, max(n) AS largest FROM b GROUP BY band",
         "near_dup_levels": f"WITH {_signature_sql(_DOCUMENTS)}, {_pairs_sql()} SELECT *, CASE WHEN jaccard_similarity >= {K.SIMILARITY_HIGH} THEN 'HIGH' ELSE 'MEDIUM' END AS similarity_level FROM pairs",
-        "near_dup_classes": f"WITH {stored}, {_pairs_sql()}, ends AS (SELECT h, count(*) AS n FROM (SELECT id_a AS h FROM linked WHERE jaccard_similarity >= {K.LSH_THRESHOLD} UNION ALL SELECT id_b FROM linked WHERE jaccard_similarity >= {K.LSH_THRESHOLD}) GROUP BY h) SELECT s.id AS paper_id, max(coalesce(n, 0))::BIGINT AS n_links FROM sig s JOIN heads h ON s.signature = h.signature LEFT JOIN ends ON ends.h = h.head GROUP BY s.id",
+        "near_dup_classes": f"WITH {stored}, {_pairs_sql()}, ends AS (SELECT h, count(*) AS n FROM (SELECT id_a AS h FROM linked WHERE jaccard_similarity >= {K.LSH_THRESHOLD} UNION ALL SELECT id_b FROM linked WHERE jaccard_similarity >= {K.LSH_THRESHOLD}) GROUP BY h) SELECT s.id AS paper_id, max(coalesce(n, 0))::BIGINT AS n_links, count(DISTINCT h.head) AS n_classes FROM sig s JOIN heads h ON s.signature = h.signature LEFT JOIN ends ON ends.h = h.head GROUP BY s.id",
         "stored_pair_levels": f"WITH {stored}, {_pairs_sql()} SELECT CASE WHEN jaccard_similarity >= {K.SIMILARITY_HIGH} THEN 'HIGH' ELSE 'MEDIUM' END AS similarity_level, count(*) AS n FROM pairs WHERE {base('id_a')} <> {base('id_b')} GROUP BY ALL",
         "lsh_probe_topk": f"""WITH {_signature_sql(_DOCUMENTS)}, keyed AS (SELECT id, band, {band} AS k FROM (SELECT id, signature, unnest(range(0, {K.BANDS})) AS band FROM sig)),
             mates AS (SELECT DISTINCT p.id AS query_id, q.id AS candidate FROM keyed p JOIN keyed q ON p.band = q.band AND p.k = q.k AND p.id <> q.id WHERE p.id % {QUERY_STEP} = 0),
@@ -509,7 +514,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, {_jaccard_sql('ka', 'kb')} AS keyword_share, {_jaccard_sql('ca', 'cb')} AS cue_share, {_jaccard_sql('na', 'nb')} AS number_share FROM p""",
         "knn_cosine": f"""WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
             p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) / q.n / c.n AS cosine FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_STEP} = 0)
-            SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INTEGER AS rank FROM p) WHERE rank <= 20""",
+            SELECT query_id, vec_id, rank, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INTEGER AS rank FROM p) WHERE rank <= 20""",
         "index_positions": "SELECT paper_id, chunk_id, row_number() OVER (ORDER BY paper_id NULLS FIRST, chunk_id NULLS FIRST) - 1 AS index_position FROM chunks_sample WHERE length(chunk_text) > 20",
-        "incremental_ingest": "SELECT file_path, min(word_count) AS word_count_raw FROM arxiv_text_parquet GROUP BY file_path",
     }

@@ -64,6 +64,17 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name for tables a query writes, under the shared checkpoint folder; in local mode only, a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="paperloom-tables-")
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base}/{name}-{os.urandom(6).hex()}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files.
 
