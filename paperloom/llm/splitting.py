@@ -9,8 +9,8 @@ cut penalties and size imbalance.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,55 +45,42 @@ def boundaries(text: str) -> tuple[list[tuple[int, str]], int]:
     return out, max(longest, len(text) - last)
 
 
-def _admitted(found: list[tuple[int, str]], size: int, first: int, reach: int) -> list[tuple[int, str]]:
-    """Boundaries the programme looks at.
+#: Where no boundary is in reach, cuts inside a word are looked at so many code points apart.
+FORCED_STEP = 25
 
-    Paragraph, line and sentence ends always; ends of words only where those
-    lie more than half a reach apart; places inside a word only where no end
-    of a word is in reach.
-    """
-    strong = [(p, k) for p, k in found if k != "word" and 0 < p < size]
-    weak = [(p, k) for p, k in found if k == "word" and 0 < p < size]
-    places = [p for p, _ in weak]
-    edges = [0, *(p for p, _ in strong), size]
-    out = list(strong)
-    for low, high in zip(edges, edges[1:]):
-        if high - low > reach // 2:
-            out += weak[bisect_left(places, low + 1) : bisect_left(places, high)]
-    out.sort()
+
+def _places(found: list[tuple[int, str]], size: int, reach: int) -> list[tuple[int, str]]:
+    """Every boundary within the text, and places inside words where two of them lie further apart than a piece reaches."""
+    out = sorted({(p, k) for p, k in found if 0 < p < size})
     edges = [0, *(p for p, _ in out), size]
-    for low, high in zip(edges, edges[1:]):
-        if high - low > reach:
-            out += [(p, "forced") for p in range(low + reach // 2, high, reach // 4)]
-            out += [(p, "forced") for p in range(high - reach // 2, low, -(reach // 4))]
-    return sorted(set(out))
+    forced = [(p, "forced") for low, high in zip(edges, edges[1:]) if high - low > reach for p in (*range(low + FORCED_STEP, high, FORCED_STEP), low + reach, high - reach)]
+    return sorted({*out, *forced})
 
 
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, str]], int]:
-    """Cuts of a text over the limit as (position, kind), and its longest run without white space."""
+    """Cuts of a text over the limit as (position, kind), and its longest run without white space: the cheapest ones of all boundaries."""
     found, longest = boundaries(text)
     size, reach = len(text), limit - overlap
-    places = [(0, ""), *_admitted(found, size, limit, reach), (size, "end")]
+    places = [(0, ""), *_places(found, size, reach), (size, "end")]
     goal = size / max(1, -(-(size - overlap) // reach))
-    best = [0.0] + [float("inf")] * (len(places) - 1)
-    source = [0] * len(places)
-    low = 0
+    at = np.array([p for p, _ in places], dtype=np.float64)
+    price = np.array([PENALTY.get(k, 0.0) + PIECE for _, k in places])
+    first = np.searchsorted(at, at - reach)
+    first[at <= limit] = 0  # the first piece has no overlap before it
+    first[(at > limit) & (first == 0)] = 1
+    best = np.full(len(places), np.inf)
+    best[0] = 0.0
+    source = np.zeros(len(places), dtype=np.int64)
     for j in range(1, len(places)):
-        at, kind = places[j]
-        while at - places[low][0] > (limit if low == 0 else reach):
-            low += 1
-        cost, chosen = float("inf"), -1
-        for i in range(low, j):
-            off = (at - places[i][0] - goal) / limit
-            c = best[i] + off * off
-            if c < cost:
-                cost, chosen = c, i
-        best[j] = cost + PENALTY.get(kind, 0.0) + PIECE
-        source[j] = chosen
-    out, j = [], source[-1]
+        low = first[j]
+        off = (at[j] - at[low:j] - goal) / limit
+        cost = best[low:j] + off * off
+        i = int(cost.argmin())
+        best[j], source[j] = cost[i] + price[j], low + i
+    out, j = [], int(source[-1])
     while j > 0:
         out.append(places[j])
-        j = source[j]
+        j = int(source[j])
     return out[::-1], longest
 
 
