@@ -54,7 +54,7 @@ def shingle_hashes(t: Column) -> Column:
 _A, _B = (np.array(x, dtype=np.uint64)[:, None] for x in K.permutation_parameters())
 
 
-def _minima(h: np.ndarray) -> np.ndarray:
+def minima(h: np.ndarray) -> np.ndarray:
     low = None
     for i in range(0, len(h), 4096):
         part = ((_A * h[None, i : i + 4096] + _B) % np.uint64(K.PRIME)).min(axis=1)
@@ -75,7 +75,7 @@ def signatures(df: DataFrame, hashes: str, out: str = "signature") -> DataFrame:
             sets = batch.column(batch.num_columns - 1)
             flat, edge = sets.values.to_numpy(zero_copy_only=False).astype(np.uint64), sets.offsets.to_numpy()
             valid = sets.is_valid().to_numpy(zero_copy_only=False)
-            made = [_minima(flat[i:j]) if ok and j > i else None for i, j, ok in zip(edge, edge[1:], valid)]
+            made = [minima(flat[i:j]) if ok and j > i else None for i, j, ok in zip(edge, edge[1:], valid)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*(f.name for f in others), out])
 
     schema = StructType([*others, StructField(out, ArrayType(IntegerType()))])
@@ -107,7 +107,7 @@ def text_signatures(df: DataFrame, text: str, out: str = "signature") -> DataFra
             made = []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 h = hash_set(t) if t else ()
-                made.append(_minima(h) if len(h) else None)
+                made.append(minima(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*(f.name for f in others), out])
 
     schema = StructType([*others, StructField(out, ArrayType(IntegerType()))])

@@ -50,13 +50,13 @@ def replace_all(t: Column, steps) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
+def nfkc_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def nfkc(t: Column) -> Column:
     """Unicode NFKC; only texts beyond ASCII go through Python."""
-    return F.coalesce(_nfkc(F.when(~t.rlike(r"\A[\x00-\x7f]*\z"), t)), t)
+    return F.coalesce(nfkc_udf(F.when(~t.rlike(r"\A[\x00-\x7f]*\z"), t)), t)
 
 
 def ligatures(t: Column, upto: str = "ﬆ") -> Column:

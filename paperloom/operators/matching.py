@@ -60,15 +60,16 @@ def find_matches(inputs: DataFrame, sources: DataFrame, candidates: DataFrame, f
     in batches on what the cheap tests leave, and not at all where the texts
     are equal. Without fuzzy it isn't needed and fuzzy_ratio is null.
     """
+    shingled = lambda t: F.transform(S.shingles(t), lambda s: F.xxhash64(s))
     a = inputs.select(
         "query_id", F.col("segment_id").alias("input_segment_id"), F.col("section").alias("input_section"), F.col("text").alias("input_text"),
         F.col("start_char").alias("input_start"), F.col("end_char").alias("input_end"), "word_count",
         F.col("is_quote").alias("input_is_quote"), F.col("near_citation").alias("input_near_citation"),
-        S.shingles(F.col("text")).alias("input_shingles"), S.normalised(F.col("text")).alias("input_plain"),
+        shingled(F.col("text")).alias("input_shingles"), S.normalised(F.col("text")).alias("input_plain"),
     )
     b = sources.select(
         "paper_id", F.col("title").alias("source_title"), F.col("segment_id").alias("source_segment_id"), F.col("section").alias("source_section"), F.col("text").alias("source_text"),
-        F.col("word_count").alias("source_words"), S.shingles(F.col("text")).alias("source_shingles"), S.normalised(F.col("text")).alias("source_plain"),
+        F.col("word_count").alias("source_words"), shingled(F.col("text")).alias("source_shingles"), S.normalised(F.col("text")).alias("source_plain"),
     )
     pairs = candidates.select("query_id", "paper_id").distinct().join(a, "query_id").join(b, "paper_id").filter(comparable(F.col("word_count"), F.col("source_words")))
     scored = pairs.withColumn("is_exact", F.col("input_plain") == F.col("source_plain")).withColumn("ngram_overlap", S.containment(F.col("input_shingles"), F.col("source_shingles")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +192,28 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(size > 0, size, 1.0)
 
 
+def embed(df: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray], size: int = 64) -> DataFrame:
+    """(key, embedding) of each text, by a model of the caller's from a list of texts to a matrix; null and empty texts have a null vector.
+
+    The model is called in the tasks with size texts at a time; it should load
+    what it needs at its first call.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            known = [i for i, t in enumerate(texts) if t]
+            out: list[list[float] | None] = [None] * len(texts)
+            for at in range(0, len(known), size):
+                part = known[at : at + size]
+                for i, v in zip(part, np.asarray(model([texts[i] for i in part]), dtype=np.float32)):
+                    out[i] = v.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], [key, "embedding"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
+
+
 def semantic_score(best_cosine):
     """Cosine above the threshold, stretched to 0 .. 1."""
     return F.greatest(F.lit(0.0), (best_cosine - K.SEMANTIC_THRESHOLD) / (1 - K.SEMANTIC_THRESHOLD))

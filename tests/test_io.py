@@ -1,11 +1,16 @@
+import http.server
 import json
+import os
 import re
+import threading
 import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from paperloom.operators import lsh, metadata
-from paperloom.sources import readers, web, writers
+from paperloom.functions.register import register
+from paperloom.operators import lsh, metadata, vectors
+from paperloom.sources import fetch, readers, web, writers
 from paperloom.streaming.ingest import ingest
 
 
@@ -125,3 +130,44 @@ def test_page_of_a_report():
     for part in ("41.23 %", "3/9", "A &amp; B", "<td class='high'>Very High</td>", "https://arxiv.org/abs/1", "https://arxiv.org/pdf/1", "&lt;b&gt;" + "x" * 1197 + "...", "<td>small_match</td><td>1</td>", "<div>Valid</div><b>1</b>", "<div>Words in excluded</div><b>7</b>", "<div>Candidates</div><b>4</b>"):
         assert part in page, part
     assert "No sources" in writers.render_html({})
+
+
+class _Site(http.server.BaseHTTPRequestHandler):
+    def do_GET(self):
+        found = self.path in ("/a.pdf", "/page")
+        self.send_response(200 if found else 404)
+        self.send_header("Content-Type", "application/pdf" if self.path == "/a.pdf" else "text/html")
+        self.end_headers()
+        self.wfile.write(b"%PDF words" if found else b"no")
+
+    def log_message(self, *args):
+        pass
+
+
+def test_fetch_and_copy(spark, tmp_path):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    folder = tmp_path / "files"
+    rows = [(f"{base}/a.pdf", "a.pdf"), (f"{base}/page", "b.pdf"), (f"{base}/none", "c.pdf"), (None, "d.pdf"), ("http://127.0.0.1:9/x", "e.pdf"), (f"{base}/a.pdf", "../f.pdf")]
+    urls = spark.createDataFrame(rows, "url string, name string").coalesce(1)
+    out = {r["name"]: r for r in fetch.fetch(urls, str(folder), tries=2, backoff=0.01).collect()}
+    assert {n: r["status"] for n, r in out.items()} == {"a.pdf": "SUCCESS", "b.pdf": "ERROR", "c.pdf": "ERROR", "d.pdf": "ERROR", "e.pdf": "ERROR", "../f.pdf": "ERROR"}
+    assert os.listdir(folder) == ["a.pdf"] and out["a.pdf"]["n_bytes"] == 10 and "404" in out["c.pdf"]["error"]
+    again = readers.status_tally(fetch.fetch(urls, str(folder), tries=1)).collect()
+    assert {r["status"]: r["count"] if "count" in r else r["n"] for r in again} == {"SKIPPED": 1, "ERROR": 5}
+    server.shutdown()
+    assert fetch.copy_if_absent(spark, str(folder), str(tmp_path / "copy")) and (tmp_path / "copy" / "a.pdf").read_bytes() == b"%PDF words"
+    assert not fetch.copy_if_absent(spark, str(folder), str(tmp_path / "copy"))
+
+
+def test_functions_known_to_sql(spark):
+    assert register(spark) == ["indel_ratio", "minhash_signature", "nfkc", "sequence_ratio"]
+    r = spark.sql("SELECT indel_ratio('abcd', 'abxd') AS a, sequence_ratio('abcd', 'bcde') AS b, nfkc('ﬁ²') AS c, minhash_signature('one two three four five six') AS d, minhash_signature('one') AS e").first()
+    assert r["a"] == 0.75 and r["b"] == 0.75 and r["c"] == "fi2" and len(r["d"]) == 128 and r["e"] is None
+
+
+def test_embeddings_of_a_given_model(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, ""), (4, "abcd")], "doc_id bigint, text string")
+    out = {r["doc_id"]: r["embedding"] for r in vectors.embed(df, "doc_id", "text", lambda texts: np.array([[len(t), 1.0] for t in texts]), size=1).collect()}
+    assert out == {1: [2.0, 1.0], 2: None, 3: None, 4: [4.0, 1.0]}
