@@ -341,7 +341,7 @@ def _shingles(t: str) -> str:
     return f"(SELECT CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) ELSE [] END FROM (SELECT {words} AS w))"
 
 
-def _signature_sql(rows: str) -> str:
+def signature_sql(rows: str) -> str:
     """CTE sig(id, signature) of rows(id, t)."""
     a, b = K.permutation_parameters()
     part = lambda i: f"('0x' || substr(m, {8 * i + 1}, 8))::BIGINT"
@@ -490,12 +490,12 @@ def oracle_sql() -> dict[str, str]:
         "chunks": _chunk_sql() + " SELECT *, paper_id || '_' || chunk_id AS chunk_uid FROM chunks",
         "chunks_by_section": _chunk_sql() + " SELECT section, count(*) AS n FROM chunks GROUP BY section",
         "shingle_counts": f"SELECT * FROM (SELECT paper_id, len({_shingles('clean_text')})::INTEGER AS n_shingles FROM arxiv_silver_plus WHERE clean_text IS NOT NULL) WHERE n_shingles > 0",
-        "minhash_signatures": f"WITH {_signature_sql(_DOCUMENTS)} SELECT id AS doc_id, array_to_string(signature, ' ') AS signature FROM sig",
-        "lsh_bucket_sizes": f"WITH {_signature_sql(_DOCUMENTS)}, b AS (SELECT band, {band} AS k, count(*) AS n FROM (SELECT signature, unnest(range(0, {K.BANDS})) AS band FROM sig) GROUP BY ALL) SELECT band::INTEGER AS band, count(*) AS buckets, max(n) AS largest FROM b GROUP BY band",
-        "near_dup_levels": f"WITH {_signature_sql(_DOCUMENTS)}, {_pairs_sql()} SELECT *, CASE WHEN jaccard_similarity >= {K.SIMILARITY_HIGH} THEN 'HIGH' ELSE 'MEDIUM' END AS similarity_level FROM pairs",
+        "minhash_signatures": f"WITH {signature_sql(_DOCUMENTS)} SELECT id AS doc_id, array_to_string(signature, ' ') AS signature FROM sig",
+        "lsh_bucket_sizes": f"WITH {signature_sql(_DOCUMENTS)}, b AS (SELECT band, {band} AS k, count(*) AS n FROM (SELECT signature, unnest(range(0, {K.BANDS})) AS band FROM sig) GROUP BY ALL) SELECT band::INTEGER AS band, count(*) AS buckets, max(n) AS largest FROM b GROUP BY band",
+        "near_dup_levels": f"WITH {signature_sql(_DOCUMENTS)}, {_pairs_sql()} SELECT *, CASE WHEN jaccard_similarity >= {K.SIMILARITY_HIGH} THEN 'HIGH' ELSE 'MEDIUM' END AS similarity_level FROM pairs",
         "near_dup_classes": f"WITH {stored}, {_pairs_sql()}, ends AS (SELECT h, count(*) AS n FROM (SELECT id_a AS h FROM linked WHERE jaccard_similarity >= {K.LSH_THRESHOLD} UNION ALL SELECT id_b FROM linked WHERE jaccard_similarity >= {K.LSH_THRESHOLD}) GROUP BY h) SELECT s.id AS paper_id, max(coalesce(n, 0))::BIGINT AS n_links, count(DISTINCT h.head) AS n_classes FROM sig s JOIN heads h ON s.signature = h.signature LEFT JOIN ends ON ends.h = h.head GROUP BY s.id",
         "stored_pair_levels": f"WITH {stored}, {_pairs_sql()} SELECT CASE WHEN jaccard_similarity >= {K.SIMILARITY_HIGH} THEN 'HIGH' ELSE 'MEDIUM' END AS similarity_level, count(*) AS n FROM pairs WHERE {base('id_a')} <> {base('id_b')} GROUP BY ALL",
-        "lsh_probe_topk": f"""WITH {_signature_sql(_DOCUMENTS)}, keyed AS (SELECT id, band, {band} AS k FROM (SELECT id, signature, unnest(range(0, {K.BANDS})) AS band FROM sig)),
+        "lsh_probe_topk": f"""WITH {signature_sql(_DOCUMENTS)}, keyed AS (SELECT id, band, {band} AS k FROM (SELECT id, signature, unnest(range(0, {K.BANDS})) AS band FROM sig)),
             mates AS (SELECT DISTINCT p.id AS query_id, q.id AS candidate FROM keyed p JOIN keyed q ON p.band = q.band AND p.k = q.k AND p.id <> q.id WHERE p.id % {QUERY_STEP} = 0),
             scored AS (SELECT query_id, candidate, len(list_filter(range(1, {K.PERMUTATIONS + 1}), lambda i: x.signature[i] = y.signature[i])) / {K.PERMUTATIONS} AS jaccard_similarity FROM mates JOIN sig x ON x.id = query_id JOIN sig y ON y.id = candidate)
             SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jaccard_similarity DESC, candidate)::INTEGER AS rank FROM scored) WHERE rank <= {K.MAX_CANDIDATES}""",
