@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.similarity import text_signatures
 from paperloom.llm.common import mix64
 from paperloom.session import cut_lineage, split_hot
 
@@ -192,6 +193,27 @@ def near_copies(df: DataFrame, key: str, text: str, threshold: float = 0.8, size
     return cut_lineage(found.unionByName(alone)), similar_classes(known, threshold)
 
 
+#: Values of a whole stored signature.
+SIGNATURE_VALUES = 128
+
+
+def sketch_states(papers: DataFrame, stored: DataFrame, key: str, text: str, signature: str) -> DataFrame:
+    """(key, state): how far the stored signatures can stand for the texts, one row for each key of papers.
+
+    state is missing (no row), null, cut (not of SIGNATURE_VALUES values),
+    fresh (some row equals the signature of some text of the key) or stale.
+    Where a key has several rows the best state counts, in the order fresh,
+    stale, cut, null. Keys without a text that can be signed have only missing
+    or unsigned; null keys are left out.
+    """
+    signed = text_signatures(papers.filter(F.col(key).isNotNull()).select(key, F.col(text).alias("_text")), "_text", "own").distinct()
+    kept = stored.filter(F.col(key).isNotNull()).select(key, F.col(signature).alias("kept"), F.lit(True).alias("there")).distinct()
+    both = signed.join(kept, key, "left")
+    known = F.when(F.col("there").isNull(), 5).when(F.col("own").isNull(), 4).when(F.col("kept").isNull(), 3).when(F.size("kept") != SIGNATURE_VALUES, 2).when(F.col("kept") != F.col("own"), 1).otherwise(0)
+    names = F.array(*[F.lit(n) for n in ("fresh", "stale", "cut", "null", "unsigned", "missing")])
+    return both.groupBy(key).agg(F.min(known).alias("n")).select(key, F.element_at(names, F.col("n") + 1).alias("state"))
+
+
 def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(key_a, key_b), key_a < key_b: every pair of different keys, copies expanded; members is a stored table."""
     members = members.filter("class_id is not null")

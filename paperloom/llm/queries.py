@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from paperloom.functions.rx import SPACE, WORD
 from paperloom.llm.encode import encode_texts
 from paperloom.llm.markup import strip_markup
-from paperloom.llm.near_copies import copy_groups, near_copies, similar_pairs
+from paperloom.llm.near_copies import copy_groups, near_copies, similar_pairs, sketch_states
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.quality import quality_findings, text_statistics
 from paperloom.llm.repetition import repetition
 from paperloom.llm.scan_repair import page_texts, repair_pages
 from paperloom.llm.shared_spans import compact, shared_spans, span_runs
 from paperloom.llm.splitting import split_texts
+from paperloom.plans.catalogue import signature_sql
 from paperloom.session import cut_lineage, table
 
 
@@ -102,6 +103,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(members, links).withColumnsRenamed({"key_a": "paper_a", "key_b": "paper_b"})
 
 
+def p6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the stored signatures are those of the papers' texts."""
+    return sketch_states(table(spark, sf_dir, "arxiv_silver_plus"), table(spark, sf_dir, "minhash_signatures"), "paper_id", "clean_text", "signature")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -125,7 +131,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p2_repaired, p2_found, p3_spans, p3_incremental, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_found, p7_ids, p8_containers, p8_found, p9_repetition, p9_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_repaired, p2_found, p3_spans, p3_incremental, p3_found, p4_statistics, p4_found, p5_clean, p5_found, p6_groups, p6_sketches, p6_found, p7_ids, p8_containers, p8_found, p9_repetition, p9_found)}
 
 
 _WHITE = SPACE
@@ -166,6 +172,10 @@ def oracle_sql() -> dict[str, str]:
           n AS (SELECT paper_id, count(*) AS n FROM s GROUP BY paper_id),
           p AS (SELECT a.paper_id AS paper_a, b.paper_id AS paper_b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.paper_id < b.paper_id GROUP BY ALL)
           SELECT paper_a, paper_b FROM p JOIN n x ON x.paper_id = paper_a JOIN n y ON y.paper_id = paper_b WHERE c / (x.n + y.n - c) >= 0.5""",
+        "p6_sketches": f"""WITH {signature_sql("SELECT DISTINCT md5(clean_text) AS id, clean_text AS t FROM arxiv_silver_plus WHERE clean_text IS NOT NULL")},
+          o AS (SELECT paper_id, sig.signature AS own FROM arxiv_silver_plus p LEFT JOIN sig ON sig.id = md5(clean_text) WHERE paper_id IS NOT NULL),
+          b AS (SELECT o.paper_id, CASE WHEN m.paper_id IS NULL THEN 5 WHEN own IS NULL THEN 4 WHEN signature IS NULL THEN 3 WHEN len(signature) <> 128 THEN 2 WHEN signature::BIGINT[] <> own::BIGINT[] THEN 1 ELSE 0 END AS n FROM o LEFT JOIN minhash_signatures m ON m.paper_id = o.paper_id)
+          SELECT paper_id, (['fresh', 'stale', 'cut', 'null', 'unsigned', 'missing'])[min(n) + 1] AS state FROM b GROUP BY paper_id""",
         "p9_found": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[^{_WHITE}]+') AS w FROM documents WHERE text IS NOT NULL),
           g AS (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM (SELECT doc_id, len(w) AS n, i, md5(array_to_string(w[i:i+7], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8))),
           m AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + 8)) AS at FROM g WHERE c > 1)
