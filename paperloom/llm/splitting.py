@@ -70,17 +70,21 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tu
     first[(at > limit) & (first == 0)] = 1
     best = np.full(len(places), np.inf)
     best[0] = 0.0
-    source = np.zeros(len(places), dtype=np.int64)
+    source = [0] * len(places)
+    x = at / limit
+    wanted, lows, prices = (x - goal / limit).tolist(), first.tolist(), price.tolist()
     for j in range(1, len(places)):
-        low = first[j]
-        off = (at[j] - at[low:j] - goal) / limit
-        cost = best[low:j] + off * off
+        low = lows[j]
+        cost = x[low:j] - wanted[j]
+        cost *= cost
+        cost += best[low:j]
         i = int(cost.argmin())
-        best[j], source[j] = cost[i] + price[j], low + i
-    out, j = [], int(source[-1])
+        best[j] = cost[i] + prices[j]
+        source[j] = low + i
+    out, j = [], source[-1]
     while j > 0:
         out.append(places[j])
-        j = int(source[j])
+        j = source[j]
     return out[::-1], longest
 
 
