@@ -18,6 +18,7 @@ import html
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -391,7 +392,13 @@ def strip_markup(df: DataFrame, src: str, key: str, text: str, common_words: Ite
     Rows repeated stay; other columns are dropped.
     """
     common = frozenset(w.lower() for w in common_words if w)
-    block = pa.struct([("kind", pa.string()), ("label", pa.string()), ("text", pa.string()), ("markup", pa.list_(pa.string()))])
+    names = {"kind": pa.string(), "label": pa.string(), "text": pa.string(), "markup": pa.list_(pa.string())}
+
+    def block_column(blocks: tuple[list[dict], ...]) -> pa.ListArray:
+        edges = np.zeros(len(blocks) + 1, dtype=np.int32)
+        np.cumsum([len(b) for b in blocks], out=edges[1:])
+        columns = [pa.array([x[n] for b in blocks for x in b], t) for n, t in names.items()]
+        return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(columns, list(names)))
 
     def run(batches):
         for batch in batches:
@@ -400,7 +407,7 @@ def strip_markup(df: DataFrame, src: str, key: str, text: str, common_words: Ite
                 made = [([], None, []) if t is None else convert(t, common) for t in texts[at : at + 512]]
                 markup, clean, blocks = zip(*made)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(made)), pa.array(markup, pa.list_(pa.string())), pa.array(clean, pa.string()), pa.array(blocks, pa.list_(block))],
+                    [batch.column(0).slice(at, len(made)), pa.array(markup, pa.list_(pa.string())), pa.array(clean, pa.string()), block_column(blocks)],
                     ["item_key", "markup", "clean_text", "blocks"],
                 )
 
