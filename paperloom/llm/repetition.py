@@ -31,7 +31,7 @@ SHARE = 0.3
 #: Most word pairs and words the broadcast part of the model may hold, which
 #: bounds it to 12 bytes times that. Rarer pairs stay in a table that the
 #: documents' pairs are joined with, so probabilities are those of all pairs.
-MODEL_PAIRS, MODEL_WORDS = 1_000_000, 500_000
+MODEL_PAIRS, MODEL_WORDS = 100_000, 50_000
 #: A band reaches so many robust deviations from the median of its language.
 BAND = 4.0
 #: Texts with fewer words are not judged by perplexity.
