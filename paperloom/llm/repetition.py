@@ -28,9 +28,10 @@ from paperloom.session import cut_lineage
 
 SEQUENCE = 8
 SHARE = 0.3
-#: Most word pairs and words the broadcast part of the model may hold, which
-#: bounds it to 12 bytes times that. Rarer pairs stay in a table that the
-#: documents' pairs are joined with, so probabilities are those of all pairs.
+#: Most word pairs and words the broadcast part of the model may hold, 12 and
+#: 16 bytes each. Rarer pairs stay in a table that the documents' pairs are
+#: joined with, so probabilities are those of all pairs at any bound; it only
+#: says how many of the commonest ones need no join.
 MODEL_PAIRS, MODEL_WORDS = 100_000, 50_000
 #: A band reaches so many robust deviations from the median of its language.
 BAND = 4.0
@@ -53,15 +54,14 @@ class _Hashes(dict):
 
 def _steps(texts: pa.Array, hashes: _Hashes):
     """(first row, word hashes, where each text's words start) of about STEP_WORDS words at a time."""
-    first, parts, counts = 0, [], []
-    for i in range(len(texts)):
-        t = texts[i].as_py()
+    first, flat, counts = 0, [], []
+    for i, t in enumerate(texts.to_pylist()):
         words = t.lower().split() if t else []
-        parts.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
+        flat += words
         counts.append(len(words))
-        if sum(counts) >= STEP_WORDS or i + 1 == len(texts):
-            yield first, np.concatenate(parts), np.r_[0, np.cumsum(counts)]
-            first, parts, counts = i + 1, [], []
+        if len(flat) >= STEP_WORDS or i + 1 == len(texts):
+            yield first, np.fromiter(map(hashes.__getitem__, flat), dtype=np.uint64, count=len(flat)), np.r_[0, np.cumsum(counts)]
+            first, flat, counts = i + 1, [], []
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
