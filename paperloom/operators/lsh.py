@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom import constants as K
 from paperloom.functions import similarity as S
 from paperloom.operators.metadata import base_id, pid_norm, pid_prefix
-from paperloom.session import cut_lineage, split_hot, spread
+from paperloom.session import PAIR_ROWS, cut_lineage, split_hot, spread
 
 
 def sign(df: DataFrame, key: str, text: str, least_chars: int = 200) -> DataFrame:
@@ -37,7 +37,7 @@ def _classes(signatures: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard_similarity): classes that share a bucket and reach the threshold; hot buckets are dealt over several tasks."""
     buckets = cut_lineage(bucket_table(classes, "class_id").select("bucket", "class_id"))
-    left, right, on = split_hot(buckets, buckets, ["bucket"])
+    left, right, on = split_hot(buckets, buckets, ["bucket"], PAIR_ROWS)
     found = left.withColumnRenamed("class_id", "a").join(right.withColumnRenamed("class_id", "b"), on).filter("a < b").select("a", "b").distinct()
     side = lambda n: classes.select(F.col("class_id").alias(n), F.col("signature").alias(f"s{n}"))
     scored = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", S.agreement(F.col("sa"), F.col("sb")).alias("jaccard_similarity"))

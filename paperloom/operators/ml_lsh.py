@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from paperloom import constants as K
 from paperloom.functions import similarity as S
 from paperloom.operators.metadata import base_id
-from paperloom.session import cut_lineage, split_hot
+from paperloom.session import PAIR_ROWS, cut_lineage, split_hot
 
 #: SPACE is the number of features, below the prime of MinHashLSH.
 TABLES, SPACE, LEAST_FILES, LEAST_WORDS = 5, 1 << 30, 2, 20
@@ -41,7 +41,7 @@ def table_pairs(keyed: DataFrame, least: float = 0.5) -> DataFrame:
     """
     heads = cut_lineage(keyed.groupBy("h").agg(F.min("id").alias("head"), F.first(F.size("h")).alias("tables")))
     entries = cut_lineage(heads.select("head", "tables", F.posexplode("h").alias("band", "value")))
-    left, right, on = split_hot(entries, entries.select("band", "value", F.col("head").alias("b")), ["band", "value"])
+    left, right, on = split_hot(entries, entries.select("band", "value", F.col("head").alias("b")), ["band", "value"], PAIR_ROWS)
     found = left.withColumnRenamed("head", "a").join(right, on).filter("a < b").groupBy("a", "b", "tables").agg(F.count("*").alias("n"))
     found = found.select("a", "b", (F.col("n") / F.col("tables")).alias("jaccard_similarity"))
     copies = keyed.join(heads, "h").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard_similarity")).distinct()

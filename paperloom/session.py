@@ -87,6 +87,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 #: Rows of one key that one join task may meet, and hot keys that are broadcast at most (some 3 MB).
 HOT_ROWS, HOT_KEYS = 10_000, 100_000
+#: The same where a table meets itself, so that a key's pairs grow with the square of its rows.
+PAIR_ROWS = 500
 
 
 def split_hot(left: DataFrame, right: DataFrame, on: list[str], most: int = HOT_ROWS, part: str = "_part") -> tuple[DataFrame, DataFrame, list[str]]:

@@ -155,5 +155,5 @@ def test_probe_equals_brute_force_with_many_copies(spark, monkeypatch):
             assert sorted(got.get(q, [])) == [(n, i, -s) for n, (s, i) in enumerate(sorted(mates)[:most], 1)]
     pairs = {tuple(r) for r in lsh.near_duplicate_pairs(signed, "doc_id").collect()}
     split = lsh.split_hot
-    monkeypatch.setattr(lsh, "split_hot", lambda left, right, on: split(left, right, on, 2))
+    monkeypatch.setattr(lsh, "split_hot", lambda left, right, on, most: split(left, right, on, 2))
     assert {tuple(r) for r in lsh.near_duplicate_pairs(signed, "doc_id").collect()} == pairs
