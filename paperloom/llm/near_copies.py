@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.similarity import text_signatures
 from paperloom.llm.common import mix64
-from paperloom.session import cut_lineage, split_hot
+from paperloom.session import PAIR_ROWS, cut_lineage, split_hot
 
 SHINGLE_WORDS = 5
 SEGMENTS, SEGMENT_SYMBOLS = 24, 3
@@ -139,7 +139,7 @@ def _entries(batches):
 def candidates_of(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: classes whose balls meet in an entry and whose sketches are near enough."""
     entries = cut_lineage(classes.select("class_id", "shingles").mapInArrow(_entries, "entry bigint, class_id bigint, " + ", ".join(f"{p} bigint" for p in _PLANES)))
-    left, right, on = split_hot(entries, entries, ["entry"])
+    left, right, on = split_hot(entries, entries, ["entry"], PAIR_ROWS)
     left = left.withColumnsRenamed({"class_id": "a"} | {p: f"a_{p}" for p in _PLANES})
     right = right.withColumnsRenamed({"class_id": "b"} | {p: f"b_{p}" for p in _PLANES})
     differ = " | ".join(f"(a_{p} ^ b_{p})" for p in _PLANES)
