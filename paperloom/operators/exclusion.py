@@ -19,17 +19,17 @@ def has_inline_citation(t: Column) -> Column:
 def for_reference_match(t: Column) -> Column:
     """Lower case without addresses and signs, white space collapsed."""
     t = F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), java(r"https?://\S+|www\.\S+"), " ")
-    t = F.regexp_replace(t, f"[^a-z0-9{SPACE}.\\-:]", " ")
+    t = F.regexp_replace(t, r"[^a-z0-9.\-:]+", " ")  # white space becomes blanks here already
     return X.strip(F.regexp_replace(t, f"[{SPACE}]+", " "))
 
 
-def source_is_cited(references: Column, title: Column, paper_id: Column, url: Column | None = None, mode: str = "reference") -> Column:
-    """Whether a source stands in the references.
+def source_is_cited(references: Column, title: Column, paper_id: Column, url: Column | None = None, mode: str = "reference", normalised: bool = False) -> Column:
+    """Whether a source stands in the references; normalised says that they went through for_reference_match already.
 
     In mode "reference" an address of a paper, which normalises to nothing, is
     found in any references; in mode "strict" empty needles are passed over.
     """
-    refs, name = for_reference_match(references), for_reference_match(title)
+    refs, name = F.coalesce(references, F.lit("")) if normalised else for_reference_match(references), for_reference_match(title)
     bare = F.trim(F.replace(F.replace(F.trim(F.lower(F.coalesce(paper_id, F.lit("")))), F.lit("arxiv_"), F.lit("")), F.lit(".pdf"), F.lit("")))
     found = (F.length(name) > 20) & refs.contains(name)
     if mode == "reference":
@@ -53,7 +53,7 @@ def is_reference_section(name: Column) -> Column:
 
 
 def is_reference_like(t: Column) -> Column:
-    return any_like(X.strip(t), P.REFERENCE_LIKE)
+    return F.coalesce(X.let(X.strip(t), lambda s: any_like(s, P.REFERENCE_LIKE)), F.lit(False))
 
 
 def is_quote(t: Column) -> Column:
@@ -65,31 +65,35 @@ def is_quote(t: Column) -> Column:
 
 
 def is_boilerplate(t: Column) -> Column:
-    return any_like(F.lower(t), P.BOILERPLATE)
+    return F.coalesce(X.let(F.lower(t), lambda s: any_like(s, P.BOILERPLATE)), F.lit(False))
 
 
 def letter_ratio(t: Column) -> Column:
     size = F.length(t)
-    return F.when(size > 0, F.regexp_count(t, F.lit(r"\p{L}")) / size).otherwise(F.lit(0.0))
+    return F.when(size > 0, (size - F.length(F.regexp_replace(t, r"\p{L}+", ""))) / size).otherwise(F.lit(0.0))
 
 
 def symbol_ratio(t: Column) -> Column:
     size = F.length(t)
-    return F.when(size > 0, F.regexp_count(t, F.lit(f"[^\\p{{L}}\\p{{N}}{SPACE}]")) / size).otherwise(F.lit(0.0))
+    return F.when(size > 0, F.length(F.regexp_replace(t, f"[\\p{{L}}\\p{{N}}{SPACE}]+", "")) / size).otherwise(F.lit(0.0))
 
 
 def is_short_formula(t: Column, words: Column) -> Column:
     return (words <= P.SYMBOL_WORDS) & (symbol_ratio(t) >= P.SYMBOL_RATIO) & (letter_ratio(t) < P.ALPHA_RATIO)
 
 
-def apply_exclusion(matches: DataFrame, references: str = "references_text", mode: str = "reference") -> DataFrame:
-    """Matches with excluded, exclusion_reasons in their fixed order, source_cited, inline_cited, quoted, risk_modifier and validity."""
+def apply_exclusion(matches: DataFrame, references: str = "references_text", mode: str = "reference", normalised: bool = False) -> DataFrame:
+    """Matches with excluded, exclusion_reasons in their fixed order, source_cited, inline_cited, quoted, risk_modifier and validity.
+
+    The references of a query are the same for all its matches; normalised
+    says that they were normalised before, once for each query.
+    """
     c = F.col
     with_flags = matches.withColumns(
         {
             "inline_cited": F.coalesce(c("input_near_citation"), F.lit(False)) | has_inline_citation(c("input_text")),
             "quoted": F.coalesce(c("input_is_quote"), F.lit(False)) | is_quote(c("input_text")),
-            "source_cited": source_is_cited(c(references), c("source_title"), c("source_paper_id").cast("string"), mode=mode),
+            "source_cited": source_is_cited(c(references), c("source_title"), c("source_paper_id").cast("string"), mode=mode, normalised=normalised),
         }
     )
     tests = [

@@ -199,7 +199,7 @@ def chunk_flags(spark: SparkSession, d: str) -> DataFrame:
     """Citation and exclusion rules on every chunk."""
     t = F.col("chunk_text")
     words = X.word_count(t)
-    return table(spark, d, "chunks_sample").select(
+    return spread(table(spark, d, "chunks_sample").select("paper_id", "chunk_id", "section", "chunk_text")).select(
         "paper_id", "chunk_id", E.has_inline_citation(t).alias("inline_citation"), any_like(t, P.SEGMENT_CITATIONS).alias("segment_citation"), E.is_reference_like(t).alias("reference_like"),
         E.is_boilerplate(t).alias("boilerplate"), E.is_quote(t).alias("is_quote"), E.is_short_formula(t, words).alias("short_formula"), E.is_reference_section(F.col("section")).alias("reference_section"),
     )
@@ -235,7 +235,7 @@ def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
 def concept_parts(spark: SparkSession, d: str) -> DataFrame:
     """Keyword, cue-phrase and percentage likeness of each document and the abstract of its paper."""
     abstracts = table(spark, d, "arxiv_silver_plus").filter("abstract is not null").groupBy("paper_id").agg(F.min("abstract").alias("abstract"))
-    both = table(spark, d, "documents").filter("text is not null").join(abstracts, "paper_id")
+    both = spread(table(spark, d, "documents").filter("text is not null").select("doc_id", "paper_id", "text")).join(abstracts, "paper_id")
     a, b = F.col("text"), F.col("abstract")
     return both.select(
         "doc_id", S.jaccard(S.keywords(a), S.keywords(b)).alias("keyword_share"), S.jaccard(S.cue_phrases(a), S.cue_phrases(b)).alias("cue_share"), S.jaccard(S.percent_numbers(a), S.percent_numbers(b)).alias("number_share")

@@ -393,14 +393,14 @@ CITED_SOURCES = f"""WITH t AS ({_papers_sql('title')}), r AS (SELECT doc_id, d.p
 
 def _chunk_matches(spark: SparkSession, d: str) -> DataFrame:
     """Each chunk as a match with its paper's abstract, its introduction taken as references."""
-    papers = _papers(spark, d, "title", "abstract", "introduction")
+    papers = cut_lineage(_papers(spark, d, "title", "abstract", "introduction").withColumn("introduction", E.for_reference_match(F.col("introduction"))))
     t = F.col("chunk_text")
-    rows = table(spark, d, "chunks_sample").filter("chunk_text is not null").join(papers, "paper_id", "left")
+    rows = spread(table(spark, d, "chunks_sample").filter("chunk_text is not null").select("paper_id", "chunk_id", "section", "chunk_text")).join(papers, "paper_id", "left")
     made = rows.select(
         "paper_id", "chunk_id", X.word_count(t).alias("word_count"), F.col("section").alias("input_section"), F.lit("abstract").alias("source_section"), t.alias("input_text"), F.col("abstract").alias("source_text"),
         F.col("title").alias("source_title"), F.col("paper_id").alias("source_paper_id"), F.col("introduction").alias("references_text"), any_like(t, P.SEGMENT_CITATIONS).alias("input_near_citation"), quoted_segment(t).alias("input_is_quote"),
     )
-    return E.apply_exclusion(made)
+    return E.apply_exclusion(made, normalised=True)
 
 
 def exclusions(spark: SparkSession, d: str) -> DataFrame:
@@ -545,7 +545,7 @@ LAYER_THREE = f"WITH {_NEIGHBOURS} SELECT query_id, pid, cosine, round_even(grea
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the abstract of their paper; the likeness of titles, which SQL can't say, is a given value."""
-    rows = table(spark, d, "documents").filter("text is not null").join(_papers(spark, d, "abstract").filter("abstract is not null"), "paper_id")
+    rows = spread(table(spark, d, "documents").filter("text is not null").select("doc_id", "paper_id", "text")).join(_papers(spark, d, "abstract").filter("abstract is not null"), "paper_id")
     return rows.select("doc_id", "paper_id", "text", "abstract", (F.pmod("doc_id", F.lit(11)) / 10).alias("title_ratio"))
 
 

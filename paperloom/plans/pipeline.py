@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom import constants as K
 from paperloom.functions import text as X
 from paperloom.operators import layers as L
-from paperloom.operators.exclusion import apply_exclusion
+from paperloom.operators.exclusion import apply_exclusion, for_reference_match
 from paperloom.operators.lsh import bucket_mates, look_up, sign
 from paperloom.operators.matching import find_matches, make_segments
 from paperloom.operators.scoring import similarity_scores, source_contributions
@@ -84,7 +84,8 @@ def check(queries: DataFrame, signatures: DataFrame, lookup: DataFrame, citation
     compared = find_matches(segments, sources, asked.select("query_id", F.col("head").alias("paper_id")).distinct(), fuzzy)
     named = asked.join(found.select("paper_id", F.col("title").alias("source_title")), "paper_id").withColumnsRenamed({"paper_id": "source_paper_id", "head": "_head"})
     raw = compared.withColumnRenamed("source_paper_id", "_head").drop("source_title").join(named, ["query_id", "_head"]).drop("_head")
-    matches = cut_lineage(apply_exclusion(raw.join(texts.select("query_id", "references_text"), "query_id"), mode=citation_mode).drop("references_text"))
+    cited = texts.select("query_id", for_reference_match(F.col("references_text")).alias("references_text"))
+    matches = cut_lineage(apply_exclusion(raw.join(cited, "query_id"), mode=citation_mode, normalised=True).drop("references_text"))
     return Check(texts, segments, sources, candidates, matches, similarity_scores(texts, matches), source_contributions(texts, matches), members)
 
 
