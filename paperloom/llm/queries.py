@@ -57,7 +57,7 @@ def p3_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = F.pmod(F.xxhash64("item_key"), F.lit(2))
     out = []
     for own in (0, 1):
-        history = cut_lineage(compact(span_runs(chunks.filter(batch != own), 0)))
+        history = compact(cut_lineage(span_runs(chunks.filter(batch != own), 0)))
         out.append(shared_spans(chunks.filter(batch == own), history=history))
     return out[0].unionByName(out[1])
 
